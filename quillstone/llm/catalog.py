@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe
+from quillstone.llm import bpe, exact_dedup, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_byte_bpe": bpe.op8_byte_bpe}
+    return {
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
