@@ -26,7 +26,7 @@ class Cache(dict):
     its entries that are asked for again move to the next one.
     """
 
-    def __init__(self, encode, most: int = 400_000, longest: int = 200):
+    def __init__(self, encode, most: int = 250_000, longest: int = 200):
         super().__init__()
         self._encode, self._most, self._longest, self._old = encode, most, longest, {}
 
