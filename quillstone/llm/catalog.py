@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, exact_dedup, simhash
+from quillstone.llm import bpe, exact_dedup, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op10_simhash": simhash.op10_simhash,

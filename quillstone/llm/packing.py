@@ -30,8 +30,8 @@ from quillstone.llm import _shared, bpe
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 48
-SMALL_SHARE = 8  # lengths up to capacity / SMALL_SHARE are small
+GROUPS = 400
+SMALL_SHARE = 3  # lengths up to capacity / SMALL_SHARE are small
 
 
 # --- tokens ---------------------------------------------------------------
