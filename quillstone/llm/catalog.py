@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, exact_dedup, packing, simhash
+from quillstone.llm import bpe, exact_dedup, neighbours, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op5_nearest_neighbours": neighbours.OP5_SQL}
