@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, exact_dedup, neighbours, packing, simhash
+from quillstone.llm import bpe, exact_dedup, neighbours, packing, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_simhash": simhash.op10_simhash,
     }
 
