@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, exact_dedup, neighbours, packing, simhash, substrings
+from quillstone.llm import bpe, exact_dedup, neighbours, packing, simhash, substrings, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_substring_dedup": substrings.op9_substring_dedup,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op5_nearest_neighbours": neighbours.OP5_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_url_filter": url_filter.op3_sql(), "op5_nearest_neighbours": neighbours.OP5_SQL}
