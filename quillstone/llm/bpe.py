@@ -26,7 +26,7 @@ class Cache(dict):
     its entries that are asked for again move to the next one.
     """
 
-    def __init__(self, encode, most: int = 250_000, longest: int = 200):
+    def __init__(self, encode, most: int = 300_000, longest: int = 200):
         super().__init__()
         self._encode, self._most, self._longest, self._old = encode, most, longest, {}
 
@@ -100,6 +100,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=4)
+def rank_cache(path: str) -> Cache:
+    """One for all tasks of a Python worker."""
+    ranks = load_ranks(path)
+    return Cache(lambda piece: merge(ranks, piece.encode("utf-8", "surrogatepass")))
+
+
 def encode_texts(texts: list[str], cache: Cache) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Ids of each text as bytes; where pre-tokens start, and the first one's number for each text."""
     joined, places, first = pretokens.boundaries(texts)
@@ -122,8 +129,7 @@ def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", t
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
-        cache = Cache(lambda piece: merge(ranks, piece.encode("utf-8", "surrogatepass")))
+        cache = rank_cache(path)
         for batch in batches:
             for part, texts in _shared.slices(batch, "t"):
                 ids, places, first = encode_texts(texts, cache)

@@ -37,7 +37,6 @@ SMALL_SHARE = 3  # lengths up to capacity / SMALL_SHARE are small
 # --- tokens ---------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
 def library_encoder(path: str):
     """Ids of one pre-token by the tokenizers library's model; its own byte alphabet is applied here.
 
@@ -58,6 +57,12 @@ def library_encoder(path: str):
     return ids
 
 
+@lru_cache(maxsize=2)
+def library_cache(path: str) -> bpe.Cache:
+    """One for all tasks of a Python worker."""
+    return bpe.Cache(library_encoder(path))
+
+
 def token_bytes(path: str, texts: list[str], cache: bpe.Cache) -> list[bytes]:
     """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
     end = END_ID.to_bytes(4, "little")
@@ -79,7 +84,7 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = bpe.Cache(library_encoder(path))
+        cache = library_cache(path)
         for batch in batches:
             for part, texts in _shared.slices(batch, "text"):
                 rows, owner = [], []
