@@ -6,10 +6,10 @@ by at most one bit. Each segment is therefore indexed once for every position
 as a variant in which that bit is a wildcard; segments that differ by one bit
 or none share a variant. Fingerprints are made distinct first. Small buckets
 of equal variants are joined and their pairs verified. A bucket of more than
-`most` fingerprints yields no pairs: its members are indexed by the variants
-with two wildcards in the whole fingerprint, whose buckets hold only
-fingerprints at most two bits apart, so each bucket becomes a star. Both ways
-are exact; the second is linear in the number of members.
+`most` fingerprints yields no pairs: its members are indexed under all values
+one bit away, and those that share such a value, which are at most two bits
+apart, become a star. Both ways are exact; the second is linear in the number
+of members.
 """
 
 from __future__ import annotations
@@ -72,52 +72,48 @@ def _mask(low: int, bits: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _variants(node: Column, fp: Column) -> Column:
-    """Every segment with one wildcard: (place, rest), place = 0..63 being the wildcard's bit."""
+def _variants(fp: Column) -> Column:
+    """The keys of both segments with each of their bits as a wildcard: place 0..63 and the bits that are left.
+
+    Keys are 64-bit hashes of the two. Should two share a key, their buckets
+    merge, and verification parts them again.
+    """
     out = []
     for bit in range(64):
-        low = bit // _SEGMENT * _SEGMENT
-        keep = _mask(low, _SEGMENT) & ~(1 << bit)
-        keep = (keep & ((1 << 64) - 1)) - (1 << 64) if (keep & ((1 << 64) - 1)) >> 63 else keep & ((1 << 64) - 1)
-        out.append(F.struct(F.lit(bit).cast("byte").alias("place"), fp.bitwiseAND(F.lit(keep)).alias("rest"), node.alias("node"), fp.alias("fp")))
-    return F.inline(F.array(*out))
+        segment = _mask(bit // _SEGMENT * _SEGMENT, _SEGMENT)
+        rest = fp.bitwiseAND(F.lit(segment)).bitwiseAND(F.bitwise_not(F.lit(_mask(bit, 1))))
+        out.append(F.xxhash64(F.lit(bit).cast("byte"), rest))
+    return F.explode(F.array(*out))
 
 
-def links(nodes: DataFrame, most: int = BUCKET_MOST) -> DataFrame:
-    """Edges (a, b) whose closure links all fingerprints at most two bits apart.
+def _near(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS
 
-    Takes distinct fingerprints: node, fp.
-    """
-    variants = nodes.select(_variants(F.col("node"), F.col("fp")))
-    other = F.bit_xor("fp")
-    # Two members of a bucket are its smallest and its largest.
-    buckets = _shared.settle(
-        variants.groupBy("place", "rest").agg(F.count("*").alias("members"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("node").alias("n1"), F.max("node").alias("n2")).where("members > 1"),
-        "buckets",
-    )
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS
-    twos = buckets.where((F.col("members") == 2) & near(F.col("low"), F.col("high"))).select(F.col("n1").alias("a"), F.col("n2").alias("b"))
-    more = buckets.where("members > 2").select("place", "rest", "members")
-    members = _shared.settle(variants.join(more, ["place", "rest"]), "members")
-    few = members.where(F.col("members") <= most).drop("members")
-    left = few.select("place", "rest", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    right = few.select("place", "rest", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    pairs = left.join(right, (left["place"] == right["place"]) & (left["rest"] == right["rest"]) & (F.col("a") < F.col("b")) & near(F.col("fa"), F.col("fb"))).select("a", "b")
-    crowd = members.where(F.col("members") > most).select("node", "fp").distinct()
-    return twos.unionByName(pairs).unionByName(_stars(crowd)).distinct()
+
+def links(nodes: DataFrame, most: int = BUCKET_MOST) -> DataFrame:
+    """Edges (a, b) whose closure links all fingerprints at most two bits apart. Takes distinct fingerprints: fp."""
+    variants = nodes.select("fp", _variants(F.col("fp")).alias("key"))
+    buckets = _shared.settle(variants.groupBy("key").count().where("count > 1"), "buckets")
+    # Buckets grow with the corpus: at no size are they broadcast.
+    members = _shared.settle(variants.join(buckets.hint("merge"), "key"), "members")
+    few = members.where(F.col("count") <= most)
+    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"))).select("a", "b")
+    crowd = members.where(F.col("count") > most).select("fp").distinct()
+    return pairs.unionByName(_stars(crowd)).distinct()
 
 
 def _stars(crowd: DataFrame) -> DataFrame:
-    """All of a bucket with two wildcards are at most two bits apart: link each to the smallest."""
-    bits = F.sequence(F.lit(0), F.lit(63))
-    one = F.lit(1).cast("long")
-    clear = lambda fp, i: fp.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, i)))
-    cleared = F.flatten(F.transform(bits, lambda i: F.transform(F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0))), lambda j: F.struct((i * 64 + j).cast("short").alias("places"), clear(clear(F.col("fp"), i), j).alias("rest")))))
-    rows = crowd.select("node", F.explode(cleared).alias("v")).select("node", "v.*")
-    stars = _shared.settle(rows.groupBy("places", "rest").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.count("*").alias("members")).where("members > 1"), "stars")
-    twos = stars.where("members = 2").select(F.col("top").alias("a"), "b")
-    spread = rows.join(stars.where("members > 2").select("places", "rest", "b"), ["places", "rest"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    return twos.unionByName(spread)
+    """Link fingerprints that share a neighbour.
+
+    Each is indexed under itself and the 64 values one bit away. Two share
+    such a value exactly if they are at most two bits apart, so all under one
+    value are linked by a star to the smallest: no pairs are made.
+    """
+    around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_mask(bit, 1))) for bit in range(64)))
+    rows = crowd.select("fp", F.explode(around).alias("value"))
+    least = _shared.settle(rows.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("value", "b"), "least")
+    return rows.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def near_duplicates(documents: DataFrame, **options) -> DataFrame:
@@ -131,10 +127,11 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     null doc_id takes that of its fingerprint, null if it is alone.
     """
     fps = _shared.settle(fingerprints(documents, **options), "fingerprints")
-    nodes = _shared.settle(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = graph.components(links(nodes.where("node IS NOT NULL").select("node", "fp")))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    labels = _shared.settle(labels, "labels")
+    nodes = _shared.settle(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
+    found = graph.components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    grouped = _shared.settle(nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "grouped")
+    least = _shared.settle(grouped.groupBy("component").agg(F.min("doc").alias("component_id")), "components")
+    labels = _shared.settle(grouped.join(least, "component").select("fp", "component_id"), "labels")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return fps.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 

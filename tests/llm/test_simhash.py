@@ -45,8 +45,8 @@ def test_links_close_over_all_pairs_within_two_bits(spark, most):
         values.add(value)
     values |= {rng.getrandbits(64) for _ in range(30)}
     fps = dict(enumerate(sorted(values)))
-    signed = [(n, v - (1 << 64) if v >> 63 else v) for n, v in fps.items()]
-    edges = simhash.links(spark.createDataFrame(signed, "node long, fp long"), most=most)
+    fps = {v - (1 << 64) if v >> 63 else v: v for v in fps.values()}
+    edges = simhash.links(spark.createDataFrame([(v,) for v in fps], "fp long"), most=most)
     near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2
     assert all(near(r.a, r.b) for r in edges.collect())
     found = {r.node: r.component for r in graph.components(edges).collect()}
