@@ -59,6 +59,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep() -> None:
+    """Exempt what is settled last from release()."""
+    _settled.pop()
+
+
 def release() -> None:
     """Delete every settled table. Call when no frame built on one will be read again."""
     while _settled:
@@ -83,3 +88,23 @@ def slices(batch: pa.RecordBatch, column: str, most_chars: int = 2_000_000):
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def part_of(at: str = "at"):
+    return F.shiftright(at, 33)
+
+
+def number_rows(df: DataFrame, label: str, name: str = "n") -> tuple[DataFrame, int]:
+    """Number the rows 0, 1, ... in the order of df's partitions and of the rows in them; also how many there are.
+
+    The rows are settled with their place in their partition first. Only one
+    count a partition comes to the driver.
+    """
+    settled = settle(df.withColumn("at", F.monotonically_increasing_id()), label)
+    counts = sorted(map(tuple, settled.groupBy(part_of().cast("int")).count().collect()))
+    bases, total = [0] * (counts[-1][0] + 1 if counts else 1), 0
+    for part, n in counts:
+        bases[part] = total
+        total += n
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return settled.withColumn(name, F.get(F.lit(bases), part_of().cast("int")).cast("long") + place).drop("at"), total

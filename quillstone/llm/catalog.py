@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, exact_dedup, neighbours, packing, simhash, substrings, url_filter
+import corpus_pipeline
+from quillstone.llm import bpe, exact_dedup, neighbours, packing, quality, simhash, substrings, token_shards, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +17,21 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_token_shards": token_shards.op4_token_shards,
         "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
+        "op6_quality": quality.op6_quality,
+        "op7_warc_fixity": warc.op7_warc_fixity,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_simhash": simhash.op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_url_filter": url_filter.op3_sql(), "op5_nearest_neighbours": neighbours.OP5_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op3_url_filter": url_filter.op3_sql(),
+        "op5_nearest_neighbours": neighbours.OP5_SQL,
+        "op7_warc_fixity": warc.OP7_SQL,
+    }

@@ -75,8 +75,8 @@ def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(start, capacity) for start in range(first, n_tokens, capacity)]
 
 
-def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece, and its ids (binary) if asked for.
+def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_bytes: int = 4) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece, and its ids (binary, id_bytes each) if asked for.
 
     A null or empty text is one piece that holds the end id alone.
     """
@@ -91,7 +91,7 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
                 for i, ids in enumerate(token_bytes(path, texts, cache)):
                     for number, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
-                        rows.append((number, start, length, zlib.crc32(own), own))
+                        rows.append((number, start, length, zlib.crc32(own), own if id_bytes == 4 or not with_ids else np.frombuffer(own, "<u4").astype(f"<u{id_bytes}").tobytes()))
                         owner.append(i)
                 number, start, length, crc, own = zip(*rows, strict=True)
                 columns = [part.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]

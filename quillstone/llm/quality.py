@@ -30,7 +30,7 @@ ADD = 300  # pseudo-labels of each class that a view may give in a round
 SURE = 0.98
 WORD_BUCKETS = 1 << 18
 MIN_DOCUMENTS = 8  # of the labelled sample, for a word to become a feature
-WORDS = 2000  # features at most, those that tell most about the label
+WORDS = 500  # features at most, those that tell most about the label
 BINS = 12
 FALSE_REJECTS = 0.002  # of good documents held out, at most, by the chosen threshold
 METADATA_BUCKETS = 256

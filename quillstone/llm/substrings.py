@@ -256,8 +256,10 @@ def repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> D
     return spans.where("span.mask <> 0").groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed and kept, the words that stay joined by one space.
+def remove_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, only_changed: bool = False) -> DataFrame:
+    """One row per document: doc_id, text_key, n_words, n_removed and kept, the words that stay joined by one space.
+
+    With only_changed, only documents that lose words are returned.
 
     Null texts have no words. Rows that repeat a doc_id are one document
     each, but none precedes the other. A row without a doc_id neither loses
@@ -265,7 +267,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROW
     table gives an empty result.
     """
     spans = _shared.settle(repeats(documents, window, crowd), "spans")
-    joined = _keyed(documents).join(spans, ["doc_id", "text_key"], "left")
+    joined = _keyed(documents).join(spans, ["doc_id", "text_key"], "inner" if only_changed else "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,9 +290,21 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROW
                         words = compress(words, stays.tolist())
                     removed.append(gone)
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "text_key", "n_words", "n_removed", "kept"])
+
+    return joined.select("doc_id", "text_key", "text", "spans").mapInArrow(run, "doc_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept string")
+
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+def without_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
+    """The documents with all their columns; where words go, the text is what stays, joined by one space.
+
+    Texts that lose nothing stay as they are, null included. A document that
+    loses all its words stays with an empty text.
+    """
+    changed = remove_repeats(documents, window, crowd, only_changed=True).select("doc_id", "text_key", F.col("kept").alias("_kept"))
+    keyed = documents.withColumn("_key", F.xxhash64(_shared.text_or_empty()))
+    joined = keyed.join(changed.dropDuplicates(["doc_id", "text_key"]), (keyed["doc_id"] == changed["doc_id"]) & (F.col("_key") == F.col("text_key")), "left")
+    return joined.select(*(F.coalesce("_kept", keyed["text"]).alias("text") if c == "text" else keyed[c] for c in documents.columns))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
