@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.plans import documents, relational
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Hybrid retrieval for all benchmark questions over all documents."""
+    return documents.q_rank_hybrid(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(relational.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(relational.ORACLES)
