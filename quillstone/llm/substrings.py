@@ -35,7 +35,7 @@ from quillstone.llm import _shared
 
 WINDOW = 13
 RUN_WORDS = 5
-CROWD = 1024
+CROWD = 8192  # documents of an anchor, beyond which single windows are dealt out
 SHARD_SEGMENTS = 4000
 
 
@@ -212,22 +212,35 @@ def match_shard(segments: list[tuple], window: int) -> list[int]:
 def _matched(distinct: DataFrame, window: int) -> DataFrame:
     """(key, digest, first, mask) of distinct segments, which come sorted by key within partitions."""
 
+    def unmatched(rows: list[tuple]) -> pa.RecordBatch:
+        return batch_of(rows, [0] * len(rows))
+
     def shard(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[2])
-        masks = match_shard([(r[2], r[3].split(b" ")) for r in rows], window)
+        return batch_of(rows, match_shard([(r[2], r[3].split(b" ")) for r in rows], window))
+
+    def batch_of(rows: list[tuple], masks: list[int]) -> pa.RecordBatch:
         key, digest, first, _ = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, pa.int64()), pa.array(masks, pa.int64())], ["key", "digest", "first", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("key", "digest", "first", "content")), strict=True) for b in batches)
         held: list[tuple] = []
+        alone: list[tuple] = []
         for _, group in groupby(rows, key=lambda r: r[0]):
-            held.extend(group)
+            own = list(group)
+            # Windows of one key occur under no other: a single segment has nothing to match.
+            (held if len(own) > 1 else alone).extend(own)
             if len(held) >= SHARD_SEGMENTS:
                 yield shard(held)
                 held = []
+            if len(alone) >= SHARD_SEGMENTS:
+                yield unmatched(alone)
+                alone = []
         if held:
             yield shard(held)
+        if alone:
+            yield unmatched(alone)
 
     return distinct.mapInArrow(run, "key bigint, digest bigint, first bigint, mask bigint")
 
