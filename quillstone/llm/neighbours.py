@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from quillstone.llm import _shared
 
 NEAREST = 20
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192  # candidates of a block
+BLOCK_QUERIES = 1024
 TILE_ROWS = 512
 QUERY_EVERY = 20
 
@@ -97,7 +98,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return finite.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
 
 
-def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, block_rows: int = BLOCK_ROWS, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query, ties to the smaller vec_id.
 
     Queries are the rows whose key is divisible by `every`; candidates are
@@ -109,7 +110,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, block
     rows = _shared.settle(usable(vectors, key, column), "vectors")
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     tiles = max(1, -(-counts["n"] // block_rows))
-    query_blocks = max(1, -(-counts["q"] // block_rows))
+    query_blocks = max(1, -(-counts["q"] // block_queries))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     hashed = F.xxhash64("vec_id")
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.pmod(hashed, F.lit(query_blocks)).cast("int").alias("qb"), spread(tiles).alias("cb"))

@@ -19,7 +19,7 @@ def test_same_as_brute_force(spark):
     rows += [(i, rows[7][1]) for i in range(400, 480)]
     rows += [(500, None), (510, [0.0] * 5), (520, [1.0, None, 0.0, 0.0, 0.0]), (530, [float("nan"), 1.0, 1.0, 1.0, 1.0]), (540, [float("inf")] * 5), (560, [1.0, 2.0]), (580, [])]
     frame = spark.createDataFrame([(i, v, 0, "q") for i, v in rows], "vec_id long, embedding array<double>, rank int, v string")
-    found = neighbours.search(frame, every=20, k=7, block_rows=64)
+    found = neighbours.search(frame, every=20, k=7, block_rows=64, block_queries=10)
     assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in found.collect()) == brute(rows, 20, 7)
 
 
