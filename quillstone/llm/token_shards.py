@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import _shared, packing
 
-TOKENS = 512  # of a sequence, at most
+TOKENS = 1024  # of a sequence, at most
 SHARD_SLOTS = 1024
 SEED = 20240229
 _ROUNDS = 6
@@ -60,13 +60,16 @@ def permute(index: np.ndarray, total: int, seed: int = SEED) -> np.ndarray:
 
 
 def sequences(documents: DataFrame, path: str | None = None, tokens: int = TOKENS) -> DataFrame:
-    """doc_id, piece, length and ids (two bytes each) of every sequence."""
+    """doc_id, piece, length, ids_crc32 and ids (two bytes each) of every sequence."""
     wide = packing.pieces(documents, path, tokens, with_ids=True, id_bytes=2)
-    return wide.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", F.col("length").cast("int").alias("length"), "ids")
+    return wide.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", F.col("length").cast("int").alias("length"), "ids_crc32", "ids")
 
 
 def materialise(documents: DataFrame, path: str | None = None, tokens: int = TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """Shards (shard, first_slot, slots, payload) of all documents' sequences, settled in the shared folder.
+    """Shards (shard, first_slot, slots, index, payload) of all documents' sequences, settled in the shared folder.
+
+    The index holds (doc_id, piece, length, ids_crc32) of each slot, so that
+    what is where can be read without the payload.
 
     A document is its ids and the end id, cut as for packing. Null and empty
     texts are the end id alone, a null doc_id is written as -1, repeated rows
@@ -78,24 +81,33 @@ def materialise(documents: DataFrame, path: str | None = None, tokens: int = TOK
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = permute(batch.column("index").to_numpy(), total, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_slots), pa.array(slot), *(batch.column(c) for c in ("doc_id", "piece", "length", "ids"))], ["shard", "slot", "doc_id", "piece", "length", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_slots), pa.array(slot), *(batch.column(c) for c in kept)], ["shard", "slot", *kept])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("shard", "slot", "doc_id", "piece", "length", "ids")
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in names), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", *kept)), strict=True))
         width = stride(tokens)
         for shard, group in groupby(rows, key=lambda r: r[0]):
             own = list(group)  # shard_slots at most
-            out = bytearray(width * len(own))
-            for _, slot, doc_id, piece, length, ids in own:
-                at = (slot - own[0][1]) * width
-                out[at : at + _HEAD.itemsize] = np.array((-1 if doc_id is None else doc_id, piece, length), _HEAD).tobytes()
-                out[at + _HEAD.itemsize : at + _HEAD.itemsize + len(ids)] = ids
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([own[0][1]]), pa.array([len(own)], pa.int32()), pa.array([bytes(out)], pa.binary())], ["shard", "first_slot", "slots", "payload"])
-
-    placed = numbered.mapInArrow(place, "shard bigint, slot bigint, doc_id bigint, piece int, length int, ids binary")
+            _, slot, doc_id, piece, length, crc, ids = zip(*own, strict=True)
+            heads = np.zeros(len(own), _HEAD)
+            heads["doc_id"], heads["piece"], heads["length"] = [-1 if x is None else x for x in doc_id], piece, length
+            head = heads.tobytes()
+            size = _HEAD.itemsize
+            payload = b"".join(x for i, own_ids in enumerate(ids) for x in (head[i * size : (i + 1) * size], own_ids, bytes(width - size - len(own_ids))))
+            listed = pa.StructArray.from_arrays([pa.array(doc_id, pa.int64()), pa.array(piece, pa.int32()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], list(kept[:4]))
+            index = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), listed)
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([slot[0]]), pa.array([len(own)], pa.int32()), index, pa.array([payload], pa.binary())], ["shard", "first_slot", "slots", "index", "payload"])
+
+    kept = ("doc_id", "piece", "length", "ids_crc32", "ids")
+    placed = numbered.mapInArrow(place, "shard bigint, slot bigint, doc_id bigint, piece int, length int, ids_crc32 bigint, ids binary")
     dealt = placed.repartition("shard").sortWithinPartitions("slot")
-    return _shared.settle(dealt.mapInArrow(fill, "shard bigint, first_slot bigint, slots int, payload binary"), "shards")
+    return _shared.settle(dealt.mapInArrow(fill, "shard bigint, first_slot bigint, slots int, index array<struct<doc_id:bigint,piece:int,length:int,ids_crc32:bigint>>, payload binary"), "shards")
+
+
+def index_of(shards: DataFrame, tokens: int = TOKENS) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, piece, length, ids_crc32 of every sequence, without reading payloads."""
+    rows = shards.select("shard", "first_slot", F.posexplode("index").alias("at", "x"))
+    return rows.select((F.col("first_slot") + F.col("at")).alias("slot"), "shard", (F.col("at").cast("long") * stride(tokens)).alias("byte_offset"), "x.*")
 
 
 def read(shards: DataFrame, tokens: int = TOKENS, from_slot: int = 0, shard_slots: int = SHARD_SLOTS, with_ids: bool = False) -> DataFrame:
@@ -120,4 +132,4 @@ def read(shards: DataFrame, tokens: int = TOKENS, from_slot: int = 0, shard_slot
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(materialise(_shared.table(spark, sf_dir, "documents")))
+    return index_of(materialise(_shared.table(spark, sf_dir, "documents")))

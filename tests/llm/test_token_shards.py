@@ -22,6 +22,10 @@ def test_round_trip_and_resume(spark):
     rows = token_shards.read(shards, tokens=32, shard_slots=16, with_ids=True).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * token_shards.stride(32) for r in rows)
+    index = {r.slot: r for r in token_shards.index_of(shards, tokens=32).collect()}
+    for r in rows:
+        x = index[r.slot]
+        assert (x.shard, x.byte_offset, -1 if x.doc_id is None else x.doc_id, x.piece, x.length, x.ids_crc32) == (r.shard, r.byte_offset, r.doc_id, r.piece, r.length, r.ids_crc32)
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     for i, text in [*enumerate(texts), (-1, "lost")]:
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
