@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +20,7 @@ from quillstone.llm import _shared, pretokens
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _NEVER = 1 << 60
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
 class Cache(dict):
@@ -26,14 +30,14 @@ class Cache(dict):
     its entries that are asked for again move to the next one.
     """
 
-    def __init__(self, encode, most: int = 300_000, longest: int = 200):
+    def __init__(self, encode, most: int = 250_000, longest: int = 200):
         super().__init__()
         self._encode, self._most, self._longest, self._old = encode, most, longest, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._old.get(piece)
         if ids is None:
-            ids = np.array(self._encode(piece), "<u4").tobytes()
+            ids = array("I", self._encode(piece)).tobytes()
         if len(piece) <= self._longest:
             if len(self) >= self._most:
                 self._old = dict(self)
@@ -100,9 +104,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=4)
 def rank_cache(path: str) -> Cache:
-    """One for all tasks of a Python worker."""
     ranks = load_ranks(path)
     return Cache(lambda piece: merge(ranks, piece.encode("utf-8", "surrogatepass")))
 
@@ -112,9 +114,8 @@ def encode_texts(texts: list[str], cache: Cache) -> tuple[list[bytes], np.ndarra
     joined, places, first = pretokens.boundaries(texts)
     cuts = places.tolist()
     cuts.append(len(joined))
-    ids = [cache[joined[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
-    numbers = first.tolist()
-    return [b"".join(ids[a:b]) for a, b in zip(numbers, numbers[1:], strict=False)], places, first
+    ids = [cache[joined[a:b]] for a, b in pairwise(cuts)]
+    return [b"".join(ids[a:b]) for a, b in pairwise(first.tolist())], places, first
 
 
 def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
