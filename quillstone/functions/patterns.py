@@ -215,3 +215,110 @@ CLAUSE_OPENING = r"^(?:during|after|before|at|à)\b[^,]*,\s*"
 CLAUSE_RELATIVE = r"^.+?\bqui\s+"
 CLAUSE_JOINT = r"\s+(?:and|et)\s+"
 TITLE_JOINT = r"\s+[—/]\s+"
+
+# --- grounded answers: words ----------------------------------------------
+QUESTION_NOISE = ("a", "an", "are", "account", "arrangement", "catalogue", "chronicle", "covered", "dossier", "does", "do", "did", "document", "for", "has", "have", "how", "is", "it", "file", "of", "on", "plan", "quelle", "quelles", "this", "under", "was", "what", "when", "which", "whose", "with", "du", "chez", "par", "hors", "sauf", "and", "or", "also")
+CAPITAL_NOISE = ("a", "an", "can", "de", "does", "how", "if", "is", "le", "la", "on", "the", "was", "what", "when", "which", "whose", "who", "where", "combien", "why", "may", "might", "will", "would", "qui", "quand", "comment", "pourquoi", "ou", "les", "un", "master", "services", "service", "incident", "data", "processing", "personal", "security", "review", "platform", "une", "des", "du", "au", "aux", "quel", "quelle", "quels", "quelles")
+DOCUMENT_TERMS = {"agreement": ("agreement", "contract", "contrat"), "addendum": ("addendum", "annex", "amendment"), "report": ("report",), "register": ("register",)}
+RELATION_CLASSES = {
+    "reserve": ("reserve", "reserves", "fund", "funds", "fond", "fonds", "pool"),
+    "maintenance": ("maintenance", "entretien"),
+    "coverage": ("coverage", "cover", "couverture"),
+    "precedence": ("control", "controls", "govern", "governs", "prevail", "prevails", "precedence", "priority", "replace", "replaces", "supersede", "supersedes"),
+    "amend": ("amend", "amends", "amended", "amendment", "change", "changes", "changed", "modify", "modifies", "modified", "alter", "alters", "altered"),
+    "access": ("access", "accesses", "accessed", "accessing", "acces"),
+    "storage": ("storage", "stockage", "archivage", "archiving"),
+    "restoration": ("restore", "restores", "restored", "restoration", "recovery", "recover", "retablissement"),
+    "monthly": ("monthly", "month", "months", "mois", "mensuel", "mensuelle", "mensuels", "mensuelles"),
+}
+MONEY_TERMS = ("fee", "fees", "budget", "budgets", "tariff", "tariffs")
+KIND_NOISE = {
+    "date": ("date", "effective", "deadline"),
+    "amount": ("amount", "cost", "price", "prix", "how", "much", "apply", "charg", "constitue", "combien", "coute", "cout", "par", "hors", "sauf"),
+    "duration": ("duration", "deadline", "period", "long", "soon", "quickly", "many"),
+    "status": ("status", "statut", "recorded", "record", "consigne"),
+    "severity": ("severity",),
+    "responsible_people": ("owner",),
+    "boolean": ("is", "are", "was", "were", "does", "do", "did", "can", "could", "may", "might", "will", "would", "has", "have"),
+}
+RELATION_NOISE = ("master", "servic", "service", "incident", "signed", "sign")
+KIND_FIELDS = {"boolean": "answer", "date": "date", "amount": "important_amounts", "duration": "duration", "severity": "severity", "responsible_people": "responsible_people", "organization_name": "organization_name", "status": "status", "text": "answer"}
+CONFLICTING_KINDS = ("boolean", "date", "amount", "duration", "severity")
+LINK_TERMS = (
+    ("purchase order", ("purchase order", "bon de commande", "commande")), ("shipment", ("shipment", "shipping", "expedition", "livraison")), ("dispatch", ("dispatch", "envoi")),
+    ("consignment", ("consignment",)), ("contract", ("contract", "contrat")), ("agreement", ("agreement", "accord")), ("invoice", ("invoice", "facture")), ("case", ("case", "dossier")),
+    ("claim", ("claim", "reclamation")), ("batch", ("batch", "lot")), ("container", ("container", "conteneur")), ("order", ("order", "commande")),
+)
+
+# --- grounded answers: patterns -------------------------------------------
+GROUNDED_AMOUNT = (
+    r"(?:\b(?:EUR|USD|GBP)\s*[$€£]?\s*\d[\d ,.]*\d(?:[.,]\d+)?k?(?=$|[^\w])|[$€£]\s*\d[\d ,.]*\d(?:[.,]\d+)?k?(?:\s*(?:EUR|USD|GBP))?(?=$|[^\w])|"
+    r"\b\d[\d ,.]*\d(?:[.,]\d+)?k?\s*(?:EUR|USD|GBP|€|£|\$)(?=$|[^\w])|"
+    r"\b(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|"
+    r"thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:[- ](?:one|two|three|four|five|six|seven|eight|nine))?\s+thousand\s+(?:pounds?|euros?|dollars?)\b)"
+)
+SEVERITY = r"\b(?:SEV[- ]?\d+|severity\s+[a-z]+|sévérité\s+[a-z0-9-]+)\b"
+ABSENCE = (
+    r"\b(?:not\s+(?:provided|recorded|listed|available|specified|stated|supplied)|(?:unavailable|absent|missing|indisponible|absent|manquant)\b|"
+    r"no\s+(?:date|amount|value|number|record|entry)\s+(?:is\s+)?(?:provided|recorded|listed)|unknown|unrecorded|n/?a|none|"
+    r"non\s+(?:renseigne|enregistre|indique|consigne|consign(?:ée|é|ee))|aucun\s+(?:enregistrement|montant|numero|date))\b"
+)
+NEGATION = r"\b(?:no|not|never|without|cannot|can't|mustn't|non|pas|jamais|aucun)\b"
+NEGATED_RELATION = r"\b(?:not|never|no|without|cannot|can't|mustn't|pas|jamais|aucun)\b"
+PREDICATE = (
+    r"\b(?:am|is|are|was|were|be|been|being|has|have|had|do|does|did|can|could|may|might|must|shall|should|will|would|est|sont|etaient|sera|seront|a|ont|peut|peuvent|doit|doivent|"
+    r"included|provided|recorded|listed|available|specified|stated|supplied|covered|eligible|approved|authorized|allowed|required|applies|applied|inclus|incluse|incluses|fourni|fournie|"
+    r"enregistre|enregistree|consigne|consignee|disponible|couvert|couverte|autorise|autorisee|requis|requise)\b"
+)
+COORDINATION = r"\b(?:and|et|but|mais|however|cependant)\b"
+COORDINATED_FACT = r"\b(?:and|et|mais|but)\s+(?=(?:is|are|was|were|has|have|does|do|est|sont|a|ont|constitue|represents|costs)\b)"
+EXCLUSION = r"\b(?:except|excluding|other than|hors|sauf)\b(.*)$"
+SLOTS = r"\b(?:who|which\s+(?:person|employee|time|date|amount)|whose|when|where|what\s+(?:time|date|amount|status)|how\s+(?:much|many|long|soon))\b"
+YES_NO = r"\s*(?:is|are|was|were|does|do|did|can|could|may|might|will|would|has|have|est-ce\s+que)\b"
+ALTERNATIVE = r"\b(?:or|ou)\b.*\b(?:\d|minutes?|hours?|days?|heures?|jours?|eur|usd|gbp)\b"
+QUESTION_KINDS = (
+    ("duration", r"\b(?:how\s+much\s+time|how\s+long|how\s+quickly|how\s+soon|how\s+many\s+(?:minutes?|hours?|days?)|duration|duree|notice\s+period|notification\s+period|combien\s+de\s+temps|delai(?:\s+de\s+notification)?|deadline|periode\s+de\s+preavis)\b"),
+    ("date", r"\b(?:when|quand|date|milestone|effect|applicable|commence|start|ouvre)\b"),
+    ("amount", r"\b(?:how much|amount|budget|cost|charge|fee|tariff|price|prix|montant|fonds|reserve|enveloppe|combien\s+(?:coute|cout|est|facture))\b"),
+    ("severity", r"\b(?:severity|severite|sev)\b"),
+    ("organization_name", r"\b(?:organization|organisation|entity|entite|supplier|custodian|mutuelle|beneficiary|beneficiaire|account holder|operator|issued)\b|whose account"),
+    ("responsible_people", r"\b(?:who|qui|whose)\b"),
+)
+STATUS_QUESTION = (r"\b(?:status|statut)\b", r"\b(?:date|renewal|renouvellement|value|champ|field)\b")
+UNSAFE_QUESTION = (r"\b(?:ignore|ignorez|disregard|invent|revele|reveal|contourne|recupere|override)\b", r"\b(?:source\w*|citation\w*|controle\w*|coordonne\w*|masked|masqu\w*|system|prompt|code)\b")
+PAST_EVENT = (r"\b(?:on\s+what\s+date|when|a\s+quelle\s+date)\b", r"\b(?:did|has|was|a-t-il|a-t-elle)\b", r"\b(?:notify|notifie|send|sent|occur|happen|report|declare)\w*\b")
+RENEWAL_ROLE = r"\b(?:renew|renewal|renouvel|recondu|echeance)\w*\b"
+EFFECTIVE_ROLE = r"\b(?:effective|takes? effect|effective from|became effective|commence(?:ment)?|starts?|application|vigueur|prise d[' ]?effet|prend\w*(?:-t-(?:il|elle)|-il|-elle)?\s+effet|prendre\s+effet|date d[' ]?effet|date effet)\w*\b"
+CLOCK = r"\b(?:at|a|à)\s*(\d{1,2}:\d{2}(?:\s*[ap]\.?m\.?)?)"
+EVENTS = (
+    ("personal_data_breach", r"\bpersonal(?:[-\s]+data)?[-\s]+breach\b"), ("service_interruption", r"\b(?:service\s+)?(?:interruption|outage|disruption)\b"),
+    ("restoration", r"\b(?:restoration|recovery)\b"), ("incident", r"\b(?:confirmed\s+)?incident\b"), ("cybersecurity_incident", r"\b(?:cybersecurity|cyber)\s+(?:security\s+)?incident\b"),
+)
+RELATION_CATEGORIES = {"operate": r"\boperat\w*\b", "issue": r"\b(?:issu\w*|emis\w*)\b", "concern": r"\bconcern\w*\b", "account": r"\b(?:account|holder)\b", "custody": r"\bcustod\w*\b", "owner": r"\b(?:own\w*|porte)\b", "beneficiary": r"\bbenefici\w*\b", "mutual": r"\bmutu\w*\b"}
+ORGANIZATION_WORDS = r"\b(?:organization|organisation|entity|entite|name|nom)\b"
+_NAME = r"([A-ZÀ-ÖØ-Þ][\wÀ-ÖØ-öø-ÿ'’-]+(?:\s+[A-ZÀ-ÖØ-Þ][\wÀ-ÖØ-öø-ÿ'’-]+){1,4})"
+NAMED_ORGANIZATION = (
+    rf"(?i:\b(?:issued by|émis par|emis par))\s+{_NAME}", rf"(?i:\b(?:dossier concerne))\s+{_NAME}", rf"(?i:\bconfirme que)\s+{_NAME}(?i:\s+(?:porte|gère|gere)\b)",
+    rf"(?i:\b(?:holder|custodian|operator|organisation|organization|entité|entity|beneficiary|bénéficiaire)[^.;]{{0,60}}?(?:—|:|\bis\b|\best\b))\s+{_NAME}",
+)
+SUBJECT = r"\b[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ']*(?:-[A-Za-z0-9]+)*\b"
+SUBJECT_ID = r"[a-z]{1,8}-\d+[a-z0-9-]*"
+TYPED_LINK = r"\b(shipment|dispatch|consignment|purchase\s+order|order|contract|agreement|invoice|case|claim|batch|lot|container)\s+(?:(?:reference|ref|id|number|no)\s*[:#]?\s*)?([a-z]{1,8}[-/]\d+[a-z0-9/-]*)\b"
+TYPE_OF_FIELD = r"\s+(?:renewal|effective|start|end|expiry)\s+(?:date|day|term)\b"
+TYPE_AFTER_RENEWAL = r"\b(?:date|status|statut)\b.{0,32}\b(?:renewal|renouvellement)\b.{0,12}$"
+TYPE_SOURCE_CUE = r"\b(?:in|under|from|within|of)\s+(?:the\s+)?$"
+TYPE_CHANGES = r"\b(?:report|register|agreement|contract|addendum|annex)\b.{0,50}\b(?:amend|amends|amended|change|changes|changed|modify|modifies|alter|alters)\b"
+FILE_TYPES = (("addendum", r"(?:^|[_\W])(?:addendum|annex|amendment|dpa)(?:$|[_\W])"), ("agreement", r"(?:^|[_\W])(?:agreement|contract|contrat|msa)(?:$|[_\W])"), ("register", r"(?:^|[_\W])register(?:$|[_\W])"), ("report", r"(?:^|[_\W])report(?:$|[_\W])"))
+TITLE_TYPES = (("addendum", ("addendum", "annex")), ("agreement", ("agreement", "contract", "contrat")), ("register", ("register",)), ("report", ("report",)))
+
+SUPPORT_WEIGHTS = {"lexical": 0.30, "semantic": 0.20, "value": 0.35, "relation": 0.15}
+SUPPORT_AT = 0.48
+PARTIAL_AT = 0.38
+GROUNDED_ANSWERS = {
+    "refused": "Request refused: document instructions are untrusted.",
+    "insufficient": "Insufficient evidence in the selected dossier.",
+    "multi_slot": "The question asks for multiple facts that this answer mode cannot verify together.",
+    "partial": "The retrieved evidence does not state the requested value.",
+    "conflict": "Conflicting values are supported; review the cited passages.",
+}
+GROUNDED_REASONS = {"partial": "The evidence identifies the event but not the requested value.", "conflict": "Conflicting values are supported by comparable evidence."}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import answer, extract, retrieve, trust
+from quillstone.operators import answer, extract, grounded, retrieve, trust
 from quillstone.plans.relational import query, read
 from quillstone.sources import parse
 
@@ -162,6 +162,19 @@ def e_answer_extractive(spark, d):
     return out.select("question_id", "status", "answer", F.size("citations").alias("citations"))
 
 
+_GROUNDED = (
+    ("q1", "answered", "EUR 48,000", 1), ("q2", "ambiguous", P.GROUNDED_ANSWERS["conflict"], 2), ("q3", "abstained", P.GROUNDED_ANSWERS["insufficient"], 0),
+    ("q4", "answered", "2026-01-15", 1), ("q5", "abstained", P.GROUNDED_ANSWERS["insufficient"], 0),
+)
+
+
+@query(f"SELECT * FROM (VALUES {_values(_GROUNDED)}) t(question_id, status, answer, citations)")
+def e_answer_grounded(spark, d):
+    asked = _supplier_questions(spark)
+    out = grounded.answer(asked, retrieve.rank(asked, _supplier_chunks(spark)))
+    return out.select("question_id", "status", "answer", F.size("citations").alias("citations"))
+
+
 def _rank_benchmark(method):
     def run(spark, d):
         chunks = _documents(spark, d).select("document_id", F.col("document_id").alias("chunk_id"), "document_name", F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"), "text")
