@@ -44,8 +44,13 @@ def limit_requests(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW
     return ordered.mapInPandas(run, f"client {kinds['client'].dataType.simpleString()}, request_id {kinds['request_id'].dataType.simpleString()}, admitted boolean, retry_after long")
 
 
-def limit_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_MICROS) -> DataFrame:
-    """The same for a stream; each client's admitted times are its state, dropped when a window passes without requests."""
+def limit_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_MICROS, expire: bool = True) -> DataFrame:
+    """The same for a stream; each client's admitted times are its state, dropped when a window passes without requests.
+
+    With expiry a query runs a batch after another to look for what has
+    expired, and so never reaches the end of its data: run one that has to
+    end, such as a replay, without.
+    """
 
     def run(key, batches, state):
         log = list(state.get[0]) if state.exists else []
@@ -57,9 +62,10 @@ def limit_stream(requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_M
             state.remove()
         else:
             state.update((log,))
-            state.setTimeoutDuration(max(1, window // 1000))
+            if expire:
+                state.setTimeoutDuration(max(1, window // 1000))
         yield pd.DataFrame(out, columns=["client", "request_id", "admitted", "retry_after"])
 
     kinds = requests.schema
     schema = f"client {kinds['client'].dataType.simpleString()}, request_id {kinds['request_id'].dataType.simpleString()}, admitted boolean, retry_after long"
-    return requests.select("client", "request_id", "micros").groupBy("client").applyInPandasWithState(run, schema, "log array<long>", "append", "ProcessingTimeTimeout")
+    return requests.select("client", "request_id", "micros").groupBy("client").applyInPandasWithState(run, schema, "log array<long>", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")

@@ -50,8 +50,6 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     found = {r.request_id: r.admitted for r in rate_limit.limit_requests(frame, 5, 1_000_000).collect()}
     assert found == brute(rows, 5, 1_000_000)
     frame.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = rate_limit.limit_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 5, 1_000_000)
-    running = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").start()
-    running.processAllAvailable()  # with timeouts of state, a run to the end of the data never ends by itself
-    running.stop()
+    stream = rate_limit.limit_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 5, 1_000_000, expire=False)
+    stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
     assert {r.request_id: r.admitted for r in spark.table("limited").collect()} == found
