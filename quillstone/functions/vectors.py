@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,14 +46,21 @@ def hash_model_id(dimension: int = HASH_DIMENSION) -> str:
     return f"deterministic-hash-v1:{dimension}"
 
 
+@lru_cache(maxsize=200_000)
+def _word_features(word: str, dimension: int) -> tuple[tuple[int, float], ...]:
+    """Place and sign of a word and of its padded trigrams, given by BLAKE2b."""
+    padded = f"  {word}  "
+    features = (word, *(padded[i : i + 3] for i in range(len(padded) - 2)))
+    values = (int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big") for f in features)
+    return tuple((v % dimension, 1.0 - 2.0 * (v & 1)) for v in values)
+
+
 def hash_vector(text: str, dimension: int = HASH_DIMENSION) -> list[float]:
-    """Signed counts of words and their padded trigrams, at places given by BLAKE2b, with unit norm."""
+    """Signed counts of words and their trigrams, with unit norm."""
     counts = [0.0] * dimension
-    for word in re.findall(r"[a-z0-9]+", text.casefold()):
-        padded = f"  {word}  "
-        for feature in (word, *(padded[i : i + 3] for i in range(len(padded) - 2))):
-            value = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-            counts[value % dimension] += 1.0 - 2.0 * (value & 1)
+    for word, n in Counter(re.findall(r"[a-z0-9]+", text.casefold())).items():
+        for place, sign in _word_features(word, dimension):
+            counts[place] += sign * n
     length = math.sqrt(math.fsum(x * x for x in counts))
     return [x / length for x in counts] if length else counts
 
