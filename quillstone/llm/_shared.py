@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _settled: list[tuple[SparkSession, str]] = []
 
 
@@ -30,18 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: While a table is written: finished executions give their shuffle files back at once, and Arrow batches are small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 @contextlib.contextmanager
-def _dropping_shuffles(spark: SparkSession):
-    """Within, a finished execution gives its shuffle files back at once."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _writing(spark: SparkSession):
+    before = {name: spark.conf.get(name, None) for name in _WRITING}
     try:
+        for name, value in _WRITING.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -53,7 +57,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillstone-{uuid.uuid4().hex[:12]}-{label}"
-    with _dropping_shuffles(spark):
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     _settled.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
