@@ -136,11 +136,5 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     return fps.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns."""
-    keep = near_duplicates(documents, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(keep, "doc_id", "left_semi")
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(_shared.table(spark, sf_dir, "documents"))
