@@ -5,6 +5,11 @@ records. A leaf hashes a record's digest with its range of bytes in the file;
 sixteen adjacent nodes make the node above them, up to one root, so a file is
 a node, too. Two replicas are compared from their roots down, and only below
 nodes that differ, until the records are found that are damaged or missing.
+
+The primary's records give the places in the tree: a replica's record takes
+the place of the primary's record with its page_id (among equal page_ids, of
+one with the same bytes, else by rank). So a record that the replica lost or
+has in addition leaves other files alone.
 """
 
 from __future__ import annotations
@@ -35,20 +40,57 @@ def record(page_id: Column, url: Column, html: Column, date: str = DATE) -> Colu
     )
 
 
-def leaves(pages: DataFrame) -> DataFrame:
-    """n, page_id, file, offset, length, sha256 and hash of each record, ordered by page_id, then by digest.
-
-    A null page_id comes first. Rows that repeat are records of their own.
-    """
+def _ordered(pages: DataFrame, label: str) -> DataFrame:
+    """n, page_id, length and sha256 of each record, numbered by page_id, then by digest."""
     whole = record(F.col("page_id"), F.col("url"), F.col("html"))
     thin = pages.select("page_id", whole.alias("whole")).select("page_id", F.octet_length("whole").cast("long").alias("length"), F.sha2("whole", 256).alias("sha256"))
+    return _numbered(thin, label)
+
+
+def _numbered(rows: DataFrame, label: str, name: str = "n") -> DataFrame:
     order = [F.col("page_id").asc_nulls_first(), "sha256"]
-    numbered, _ = _shared.number_rows(thin.repartitionByRange(*order).sortWithinPartitions(*order), "records")
+    return _shared.number_rows(rows.repartitionByRange(*order).sortWithinPartitions(*order), label, name)[0]
+
+
+def _placed(numbered: DataFrame) -> DataFrame:
+    """With the file and the offset in it, where n is a record's place among all."""
     filed = numbered.withColumn("file", F.floor(F.col("n") / FILE_RECORDS))
     before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # one file's records at most
-    placed = filed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    return filed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+
+
+def _leaves(numbered: DataFrame) -> DataFrame:
     own = F.sha2(F.concat_ws("|", "offset", "length", "sha256"), 256)
-    return _shared.settle(placed.select("n", "page_id", "file", "offset", "length", "sha256", own.alias("hash")), "leaves")
+    return _shared.settle(_placed(numbered).select("n", "page_id", "file", "offset", "length", "sha256", own.alias("hash")), "leaves")
+
+
+def leaves(pages: DataFrame) -> DataFrame:
+    """n, page_id, file, offset, length, sha256 and hash of each record, ordered by page_id, then by digest.
+
+    A null page_id comes first. Rows that repeat are records of their own.
+    """
+    return _leaves(_ordered(pages, "records"))
+
+
+def _rank(rows: DataFrame, n: str, *columns: str) -> DataFrame:
+    """With the rank of each row among those with equal columns, whose n follow each other."""
+    first = rows.groupBy(*(F.col(c).alias(f"first_{c}") for c in columns)).agg(F.min(n).alias("first"))
+    same = [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in columns]
+    return rows.join(first, same).select(*rows.columns, (F.col(n) - F.col("first")).alias("rank"))
+
+
+def _pairs(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """n and m of the records of both that belong together: of equal page_ids those with the same bytes, the others by rank."""
+    ours, theirs = ours.select("n", "page_id", "sha256"), theirs.select(F.col("n").alias("m"), "page_id", "sha256")
+
+    def match(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+        other = [F.col(c).alias(f"b_{c}") for c in (*columns, "rank")]
+        return a.join(b.select("m", *other), [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in (*columns, "rank")]).select("n", "m")
+
+    equal = _shared.settle(match(_rank(ours, "n", "page_id", "sha256"), _rank(theirs, "m", "page_id", "sha256"), "page_id", "sha256"), "equal")
+    left = _numbered(ours.join(equal, "n", "left_anti"), "left", "at_left")
+    right = _numbered(theirs.join(equal, "m", "left_anti"), "right", "at_right")
+    return equal.unionByName(match(_rank(left, "at_left", "page_id"), _rank(right, "at_right", "page_id"), "page_id"))
 
 
 def tree(records: DataFrame) -> list[DataFrame]:
@@ -81,16 +123,24 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """One row for each record of either replica: page_id, file, offset, length, sha256, replica_sha256, status.
 
     Status is intact, damaged, moved (the same bytes at another place in the
-    file, after a record of another length), missing (in the replica) or
-    extra. Only records that the trees show to differ are other than intact. Empty
+    file, after a record of another length or one that is missing), missing
+    (in the replica) or extra. An extra record has its file and offset in the
+    replica by itself, and doesn't move others. Only records that the trees show to
+    differ, or that the primary doesn't have, are other than intact. Empty
     tables give an empty result; columns beside page_id, url and html don't
     matter.
     """
-    a, b = leaves(primary), leaves(replica)
+    ours, theirs = _ordered(primary, "records"), _ordered(replica, "replica")
+    pairs = _shared.settle(_pairs(ours, theirs), "pairs")
+    known = theirs.withColumnRenamed("n", "m").join(pairs, "m").drop("m")
+    a, b = _leaves(ours), _leaves(known)
     found = differing(tree(a), tree(b)).withColumn("differs", F.lit(True))
-    sides = a.join(b.select("n", *(F.col(c).alias(f"other_{c}") for c in ("page_id", "file", "offset", "length", "sha256"))), "n", "full_outer").join(found, "n", "left")
-    status = F.when(F.col("differs").isNull(), "intact").when(F.col("sha256").isNull(), "extra").when(F.col("other_sha256").isNull(), "missing").when(F.col("sha256") == F.col("other_sha256"), "moved").otherwise("damaged")
-    return sides.select(*(F.coalesce(c, f"other_{c}").alias(c) for c in ("page_id", "file", "offset", "length")), "sha256", F.col("other_sha256").alias("replica_sha256"), status.alias("status"))
+    sides = a.join(b.select("n", F.col("sha256").alias("replica_sha256")), "n", "left").join(found, "n", "left")
+    status = F.when(F.col("differs").isNull(), "intact").when(F.col("replica_sha256").isNull(), "missing").when(F.col("sha256") == F.col("replica_sha256"), "moved").otherwise("damaged")
+    names = ["page_id", "file", "offset", "length"]
+    extra = _placed(theirs).join(pairs.select(F.col("m").alias("n")), "n", "left_anti")
+    added = extra.select(*names, F.lit(None).cast("string").alias("sha256"), F.col("sha256").alias("replica_sha256"), F.lit("extra").alias("status"))
+    return sides.select(*names, "sha256", "replica_sha256", status.alias("status")).unionByName(added)
 
 
 def write_warc(pages: DataFrame, path: str) -> None:

@@ -41,3 +41,21 @@ def test_files_hold_what_the_leaves_say(spark, tmp_path):
     assert sorted([(r.page_id, r.url, r.html) for r in back], key=str) == sorted([(i, u or "", h or "") for i, u, h in PAGES], key=str)
     at = {(r.file, r.offset, r.length, r.page_id) for r in back}
     assert at == {(r.file, r.offset, r.length, r.page_id) for r in warc.leaves(pages).collect()}
+
+
+def test_lost_and_gained_records_in_the_middle(spark):
+    pages = [(2 * i, f"http://x/{i}", f"<p>page {i}</p>") for i in range(700)]
+    lost, gained, hurt = pages[300], (801, "new", "new"), pages[500]
+    other = [(i, u, h.upper()) if i == hurt[0] else (i, u, h) for i, u, h in pages if i != lost[0]] + [gained]
+    found = {r.page_id: r for r in warc.audit(frame(spark, pages), frame(spark, other)).collect()}
+    assert len(found) == 701
+    assert {i: r.status for i, r in found.items() if r.status not in ("intact", "moved")} == {600: "missing", 801: "extra", 1000: "damaged"}
+    assert {i for i, r in found.items() if r.status == "moved"} == {i for i, *_ in pages[301:512]} - {1000}
+    assert (found[600].replica_sha256, found[801].sha256) == (None, None) and found[801].replica_sha256
+
+
+def test_lost_record_among_equal_ids(spark):
+    pages = [(None, "u", c) for c in "abc"] + [(7, "u", c) for c in "abcdd"] + [(8, "u", "x")]
+    for gone in (0, 4, 6):
+        status = sorted((r.page_id, r.status) for r in warc.audit(frame(spark, pages), frame(spark, pages[:gone] + pages[gone + 1 :])).where("status NOT IN ('intact', 'moved')").collect())
+        assert status == [(pages[gone][0], "missing")]
