@@ -13,7 +13,7 @@ from quillstone.llm import _shared, exact_dedup, near_texts, packing, quality, s
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go; without labels of both kinds none does."""
+    """Documents that the co-trained classifier rejects go; if all labelled documents are of one kind none does."""
     return quality.keep_good(docs, _shared.table(spark, sf_dir, "labels"))
 
 

@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import _shared
 
-LABELLED = 6000  # documents to fit and calibrate on, at most
+LABELLED = 6000  # documents to fit and calibrate on, at most, besides
+LABELLED_CLASS = 1000  # of each class, which are there whatever its share is
+FEW = 20  # documents of a class held out, below which cross-fitting takes the place of holding out
+FOLDS = 5
 UNLABELLED = 4000  # documents to exchange pseudo-labels of, at most
 ROUNDS = 3
 ADD = 300  # pseudo-labels of each class that a view may give in a round
@@ -83,17 +86,19 @@ class Linear:
         return np.array([self.weights[r].sum() + self.intercept for r in rows])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, penalty: float, steps: int = 120) -> Linear:
-    """Minimise the summed log loss plus penalty / 2 times the squared weights, by L-BFGS."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, penalty: float, steps: int = 120, even: bool = False) -> Linear:
+    """Minimise the summed log loss plus penalty / 2 times the squared weights, by L-BFGS; if even, both classes weigh the same."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     sign = np.where(labels > 0.5, 1.0, -1.0)
+    share = np.where(sign > 0, (sign > 0).mean(), (sign < 0).mean())
+    weight = 0.5 / share if even else np.ones(len(sign))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = sign * (np.bincount(owner, w[column], len(rows)) + w[-1])
-        pull = -sign / (1 + np.exp(np.clip(z, -500, 500)))
+        pull = -sign * weight / (1 + np.exp(np.clip(z, -500, 500)))
         grad = np.append(np.bincount(column, pull[owner], size), pull.sum()) + penalty * np.append(w[:-1], 0)
-        return float(np.logaddexp(0, -z).sum() + penalty / 2 * (w[:-1] ** 2).sum()), grad
+        return float((weight * np.logaddexp(0, -z)).sum() + penalty / 2 * (w[:-1] ** 2).sum()), grad
 
     w = np.zeros(size + 1)
     value, grad = loss(w)
@@ -200,22 +205,73 @@ def _view(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"), *meta)
 
 
-def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> Model | None:
-    """Co-train on a bounded sample, chosen by a hash of doc_id; None if there are not both good and other documents labelled."""
+def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS, a_class: int = LABELLED_CLASS) -> Model | None:
+    """Co-train on a bounded sample, chosen by a hash of doc_id; None only if there are not both good and other documents labelled.
+
+    The sample has the first `labelled` labelled documents, and the first
+    `a_class` of each class. A fourth is held out to calibrate and to choose
+    the threshold; where that leaves few of a class, each document is scored
+    by models that haven't seen it, and the last model is fitted on all.
+    """
     order = F.xxhash64("doc_id", F.lit(11))
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).cast("int").alias("good"))
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
-    known = ids.join(marked, "doc_id").orderBy(order, "doc_id").limit(labelled)
+    known = _shared.settle(ids.join(marked, "doc_id").distinct(), "labelled")
+    parts = [known.orderBy(order, "doc_id").limit(labelled), *(known.where(F.col("good") == g).orderBy(order, "doc_id").limit(a_class) for g in (0, 1))]
     pool = ids.join(marked, "doc_id", "left_anti").withColumn("good", F.lit(-1)).orderBy(order, "doc_id").limit(unlabelled)
-    chosen = known.unionByName(pool).dropDuplicates(["doc_id"])
-    sample = sample_features(_view(documents).join(F.broadcast(chosen.select("doc_id")), "doc_id"))  # at most labelled + unlabelled ids
+    chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(pool).dropDuplicates(["doc_id"])
+    sample = sample_features(_view(documents).join(F.broadcast(chosen.select("doc_id")), "doc_id"))  # at most labelled + 2 a_class + unlabelled ids
     rows = sample.join(chosen, "doc_id").orderBy("doc_id").toArrow().to_pandas().drop_duplicates("doc_id")
     good = rows["good"].to_numpy()
-    if not ((good == 1).sum() >= 20 and (good == 0).sum() >= 20):
+    if not ((good == 1).any() and (good == 0).any()):
         return None
 
-    apart = np.array([xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 3) % 4 == 0 for i in rows["doc_id"]])
-    learn, held, free = (good >= 0) & ~apart, (good >= 0) & apart, good < 0
+    draw = np.array([xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 3) for i in rows["doc_id"]], np.uint64)
+    apart, labels_known = draw % 4 == 0, good >= 0
+    held = labels_known & apart
+    if min(((good == g) & part).sum() for g in (0, 1) for part in (held, ~apart)) >= FEW:
+        model, features = _cotrain(rows, good, labels_known & ~apart, held, rounds)
+        at = np.flatnonzero(held)
+        _finish(model, _logits(model, features, at), good[at])
+        return model
+
+    # Dealt by class. The only document of a class is in all folds.
+    fold = np.full(len(good), -1)
+    for g in (0, 1):
+        own = np.flatnonzero(good == g)
+        if len(own) > 1:
+            fold[own[np.argsort(draw[own], kind="stable")]] = np.arange(len(own)) % FOLDS
+    views: list[tuple[np.ndarray, float]] = []
+    at = np.flatnonzero(labels_known)
+    for turns in (0, rounds):  # without pseudo-labels first, to calibrate the views that give them
+        logits = np.empty((len(good), 2))
+        for k in range(-1, FOLDS):
+            out = labels_known & (fold == k)
+            if out.any():
+                model, features = _cotrain(rows, good, labels_known & ((fold != k) | (fold < 0)), None, turns, views)
+                logits[out] = _logits(model, features, np.flatnonzero(out))
+        views = [calibrate(logits[at, v : v + 1], good[at]) for v in (0, 1)]
+    model, _ = _cotrain(rows, good, labels_known, None, rounds, views)
+    model.views = views
+    _finish(model, logits[at], good[at])
+    return model
+
+
+def _logits(model: Model, features: list[list[np.ndarray]], at: np.ndarray) -> np.ndarray:
+    return np.column_stack([v.logits([f[i] for i in at]) for v, f in zip((model.text, model.metadata), features, strict=True)])
+
+
+def _finish(model: Model, logits: np.ndarray, good: np.ndarray) -> None:
+    """Combine the views and choose the threshold, by documents that weren't learned from."""
+    model.blend = calibrate(logits, good)
+    score = _sigmoid(logits @ model.blend[0] + model.blend[1])
+    clean = np.sort(score[good == 1])
+    model.threshold = float(min(0.5, clean[int(FALSE_REJECTS * len(clean))])) if len(clean) else 0.5
+
+
+def _cotrain(rows, good: np.ndarray, learn: np.ndarray, held: np.ndarray | None, rounds: int, calibrated: list[tuple[np.ndarray, float]] | None = None) -> tuple[Model, list[list[np.ndarray]]]:
+    """Fit both views on `learn` and pseudo-labels; also the features of all rows. Calibrates on `held`, if any, else takes what is `calibrated`."""
+    free = good < 0
     counts = [np.bincount(np.concatenate([np.zeros(0, np.int64), *rows["buckets"][learn & (good == g)]]).astype(np.int64), minlength=WORD_BUCKETS) for g in (0, 1)]
     words = {int(b): i for i, b in enumerate(telling_words(*counts, int((learn & (good == 0)).sum()), int((learn & (good == 1)).sum())))}
     shapes = np.stack(rows["shape"])
@@ -234,14 +290,17 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unl
         for (features, size, penalty), extra in zip(views, given, strict=True):
             at = [*np.flatnonzero(learn).tolist(), *extra]
             y = np.array([*good[learn].tolist(), *extra.values()])
-            fitted.append(fit([features[i] for i in at], y, size, penalty))
-        model.views = [calibrate(v.logits([f[i] for i in np.flatnonzero(held)])[:, None], good[held]) for v, (f, *_) in zip(fitted, views, strict=True)]
+            fitted.append(fit([features[i] for i in at], y, size, penalty, even=held is None))
+        if held is not None:
+            model.views = [calibrate(v.logits([f[i] for i in np.flatnonzero(held)])[:, None], good[held]) for v, (f, *_) in zip(fitted, views, strict=True)]
+        elif calibrated:
+            model.views = calibrated
         if turn == rounds:
             break
         for own in (0, 1):
             other, (a, b) = 1 - own, model.views[own]
             open_ids = [i for i in np.flatnonzero(free).tolist() if i not in given[other]]
-            if not open_ids:
+            if not open_ids or a[0] <= 0:
                 continue
             p = _sigmoid(fitted[own].logits([views[own][0][i] for i in open_ids]) * a[0] + b)
             ranked = np.argsort(p, kind="stable")
@@ -249,13 +308,7 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unl
             given[other] |= {open_ids[i]: 1 for i in ranked[::-1][:ADD].tolist() if p[i] >= SURE}
         model.exchanged.append((len(given[1]), len(given[0])))
     model.text, model.metadata = fitted
-    at = np.flatnonzero(held)
-    logits = np.column_stack([v.logits([f[i] for i in at]) for v, (f, *_) in zip(fitted, views, strict=True)])
-    model.blend = calibrate(logits, good[held])
-    score = _sigmoid(logits @ model.blend[0] + model.blend[1])
-    clean = np.sort(score[good[held] == 1])
-    model.threshold = float(min(0.5, clean[int(FALSE_REJECTS * len(clean))])) if len(clean) else 0.5
-    return model
+    return model, [text_rows, meta_rows]
 
 
 def score(documents: DataFrame, model: Model | None, threshold: float | None = None) -> DataFrame:

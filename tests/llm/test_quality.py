@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quillstone.llm import quality
 
@@ -53,3 +54,22 @@ def test_nulls_empty_and_no_labels(spark):
     assert {(r.kept, r.score) for r in quality.classify(frame, nothing).collect()} == {(True, None)}
     assert quality.keep_good(frame, nothing).count() == len(rows) + 4
     assert quality.classify(spark.createDataFrame([], DOCUMENTS), spark.createDataFrame(labels, LABELS)).collect() == []
+
+
+@pytest.mark.parametrize("n_bad", [3, 19])
+def test_few_bad_labels_still_reject(spark, n_bad):
+    rows, labels = corpus(6, 1200)
+    bad = [i for i, q, _ in labels if not q]
+    known = [x for x in labels if x[0] in set(bad[:n_bad]) or (x[1] == 1 and x[2] == 0 and x[0] < 800)]
+    out = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(known, LABELS)).collect()}
+    assert np.mean([out[i].kept for i in bad[n_bad:]]) < 0.2
+    assert np.mean([out[i].kept for i, q, t in labels if q == 1 and t == 0 and i >= 800]) > 0.97
+
+
+def test_rare_class_outside_the_first_labels(spark):
+    rows, labels = corpus(8, 900)
+    frame, known = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame([x for x in labels if x[2] == 0], LABELS)
+    out = {r.doc_id: r.kept for r in quality.classify(frame, known, labelled=30).collect()}
+    assert np.mean([out[i] for i, q, _ in labels if not q]) < 0.1
+    assert {r.kept for r in quality.classify(frame, known.where("quality = 1")).collect()} == {True}
+    assert quality.train(frame, known.where("quality = 1 OR doc_id = %d" % next(i for i, q, _ in labels if not q))) is not None
