@@ -174,10 +174,18 @@ def duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES, key_bits: i
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns: one for each distinct text.
 
-    Rows that repeat the staying doc_id all stay.
+    Rows that repeat the staying doc_id with the same text all stay. Of a text
+    that only rows with null doc_id have, one row stays. A doc_id that stays
+    for one text doesn't keep its rows with other texts.
     """
-    keep = duplicates(documents, **options).where("kept").select("doc_id").distinct()
-    return documents.join(keep, "doc_id", "left_semi")
+    keep = duplicates(documents, **options).where("kept").select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_text")).distinct()
+    rows = documents.withColumn("keep_key", F.sha2(_shared.text_or_empty().cast("binary"), 256))
+    named = rows.where("doc_id IS NOT NULL").join(keep, (F.col("doc_id") == F.col("keep_doc")) & (F.col("keep_key") == F.col("keep_text")), "left_semi")
+    # Rows without a doc_id are numbered, so that one of each text stays.
+    nameless, _ = _shared.number_rows(rows.where("doc_id IS NULL"), "nameless", "keep_n")
+    first = nameless.groupBy("keep_key").agg(F.min("keep_n").alias("keep_n")).join(keep.where("keep_doc IS NULL"), F.col("keep_key") == F.col("keep_text"), "left_semi")
+    alone = nameless.join(first.select("keep_n"), "keep_n", "left_semi")
+    return named.select(*documents.columns).unionByName(alone.select(*documents.columns))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

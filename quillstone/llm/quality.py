@@ -311,6 +311,34 @@ def _cotrain(rows, good: np.ndarray, learn: np.ndarray, held: np.ndarray | None,
     return model, [text_rows, meta_rows]
 
 
+def _scorer(model: Model):
+    """A function of texts and metadata (source, lang, n_chars) that gives the logits of both views."""
+    table = model.text.weights
+    by_bucket = {b: float(table[i]) for b, i in model.words.items()}
+
+    class Weights(dict):
+        def __missing__(self, word: bytes) -> float:
+            if len(self) > 400_000:
+                self.clear()
+            value = self[word] = by_bucket.get(word_bucket(word), 0.0)
+            return value
+
+    weight = Weights().__getitem__
+
+    def logits_of(texts: list[str], metadata: Iterator[tuple]) -> np.ndarray:
+        logits = np.empty((len(texts), 2))
+        for i, text in enumerate(texts):
+            data = text.encode("utf-8", "surrogatepass")
+            words = data.split()
+            found = model.shape_features(shape(data, words, len(set(words))))
+            logits[i, 0] = sum(map(weight, plain_words(data))) + table[found].sum() + model.text.intercept
+        for i, x in enumerate(metadata):
+            logits[i, 1] = model.metadata.weights[metadata_features(*x)].sum() + model.metadata.intercept
+        return logits
+
+    return logits_of
+
+
 def score(documents: DataFrame, model: Model | None, threshold: float | None = None) -> DataFrame:
     """doc_id, text_score, metadata_score, score and kept for every row; without a model all are kept with score null."""
     if model is None:
@@ -319,27 +347,10 @@ def score(documents: DataFrame, model: Model | None, threshold: float | None = N
     least = model.threshold if threshold is None else threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.text.weights
-        by_bucket = {b: float(table[i]) for b, i in model.words.items()}
-
-        class Weights(dict):
-            def __missing__(self, word: bytes) -> float:
-                if len(self) > 400_000:
-                    self.clear()
-                value = self[word] = by_bucket.get(word_bucket(word), 0.0)
-                return value
-
-        weight = Weights().__getitem__
+        logits_of = _scorer(model)
         for batch in batches:
             for part, texts in _shared.slices(batch, "text"):
-                logits = np.empty((len(texts), 2))
-                for i, text in enumerate(texts):
-                    data = text.encode("utf-8", "surrogatepass")
-                    words = data.split()
-                    found = model.shape_features(shape(data, words, len(set(words))))
-                    logits[i, 0] = sum(map(weight, plain_words(data))) + table[found].sum() + model.text.intercept
-                for i, x in enumerate(zip(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)):
-                    logits[i, 1] = model.metadata.weights[metadata_features(*x)].sum() + model.metadata.intercept
+                logits = logits_of(texts, zip(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True))
                 alone = [_sigmoid(logits[:, v] * a[0] + b) for v, (a, b) in enumerate(model.views)]
                 both = _sigmoid(logits @ model.blend[0] + model.blend[1])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, (*alone, both)), pa.array(both >= least)], ["doc_id", "text_score", "metadata_score", "score", "kept"])
@@ -360,10 +371,21 @@ def classify(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    scored = classify(documents, labels, **options)
-    rejected = scored.where("NOT kept").select("doc_id").distinct()
-    return documents.join(rejected, documents["doc_id"] == rejected["doc_id"], "left_anti")
+    """The rows that are not rejected, with all their columns. Each row counts by itself, also where doc_id is null or repeats."""
+    model = train(documents, labels, **options)
+    if model is None:
+        return documents
+    names, seen = documents.columns, ["source", "lang", "n_chars"]
+    view = [(F.col(c) if c in names else F.lit(None)).cast(kind).alias(f"seen_{c}") for c, kind in zip(seen, ("string", "string", "long"), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logits_of = _scorer(model)
+        for batch in batches:
+            for part, texts in _shared.slices(batch, "text"):
+                logits = logits_of(texts, zip(*(part.column(f"seen_{c}").to_pylist() for c in seen), strict=True))
+                yield part.select(names).filter(pa.array(_sigmoid(logits @ model.blend[0] + model.blend[1]) >= model.threshold))
+
+    return documents.select("*", *view).mapInArrow(run, documents.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
