@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import _shared, packing
 
-TOKENS = 1024  # of a sequence, at most
+TOKENS = 512  # of a sequence, at most
 SHARD_SLOTS = 1024
 SEED = 20240229
 _ROUNDS = 6
@@ -111,7 +111,7 @@ def index_of(shards: DataFrame, tokens: int = TOKENS) -> DataFrame:
 
 
 def read(shards: DataFrame, tokens: int = TOKENS, from_slot: int = 0, shard_slots: int = SHARD_SLOTS, with_ids: bool = False) -> DataFrame:
-    """The sequences from a slot on, in any order of shards: what a resumed run still has to see."""
+    """The sequences from a slot on, in any order of shards: what a resumed run still has to see. A null doc_id is stored, and read, as -1."""
     width = stride(tokens)
     names = ["slot", "shard", "byte_offset", "doc_id", "piece", "length", "ids_crc32", *["ids"] * with_ids]
 
@@ -132,4 +132,4 @@ def read(shards: DataFrame, tokens: int = TOKENS, from_slot: int = 0, shard_slot
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(materialise(_shared.table(spark, sf_dir, "documents")))
+    return read(materialise(_shared.table(spark, sf_dir, "documents")))

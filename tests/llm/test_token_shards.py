@@ -35,3 +35,12 @@ def test_round_trip_and_resume(spark):
     assert sorted(r.slot for r in rest) == list(range(21, len(rows)))
     empty = token_shards.materialise(spark.createDataFrame([], "doc_id long, text string"))
     assert token_shards.read(empty).collect() == []
+
+
+def test_query_reads_stored_ids_in_sequences_of_512(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "word " * 3000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stored = []
+    real = token_shards.read
+    monkeypatch.setattr(token_shards, "read", lambda *a, **b: stored.append(1) or real(*a, **b))
+    rows = token_shards.op4_token_shards(spark, str(tmp_path)).collect()
+    assert stored and max(r.length for r in rows) == 512 and len(rows) > 2
