@@ -109,13 +109,80 @@ def rank_cache(path: str) -> Cache:
     return Cache(lambda piece: merge(ranks, piece.encode("utf-8", "surrogatepass")))
 
 
+_SLOTS = (1 << 20) - 1
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of 0 to 8 bytes
+
+
+def _same_pieces(joined: str, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pre-token the number of its content, and for each number a pre-token that has it.
+
+    The first sixteen bytes and the length are hashed for all pre-tokens at
+    once. Contents are equal if these are; every pre-token is compared with
+    the one that stands for its hash. Those that are longer, or differ twice
+    from the one that shares their hash, get numbers of their own.
+    """
+    data = joined.encode("utf-8", "surrogatepass")
+    stops = np.append(places[1:], len(joined))
+    if len(data) == len(joined):
+        begins, ends = places, stops
+    else:
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = np.ones(len(points) + 1, np.int64)
+        width[:-1] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        at = np.cumsum(width) - width
+        begins, ends = at[places], at[stops]
+    length = ends - begins
+    padded = data + bytes(16)
+    eight = np.ndarray(len(data) + 9, "<u8", padded, 0, (1,))
+    low = eight[begins] & _LOW_BYTES[np.minimum(length, 8)]
+    high = eight[begins + 8] & _LOW_BYTES[np.clip(length - 8, 0, 8)]
+    mixed = (low ^ (low >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (high ^ (high >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + length.astype(np.uint64)
+    mixed ^= mixed >> np.uint64(32)
+    # One pre-token of each hash stands for it: the last that is written to its slot.
+    number = np.empty(len(places), np.int32)
+    shown, rest, seen = [], np.flatnonzero(length <= 16).astype(np.int32), 0
+    for turn in range(2):
+        slot = (mixed[rest] >> np.uint64(20 * turn)).astype(np.int32) & _SLOTS
+        table = np.empty(_SLOTS + 1, np.int32)
+        table[slot] = rest
+        stands = table[slot]
+        same = (low[stands] == low[rest]) & (high[stands] == high[rest]) & (length[stands] == length[rest])
+        own = rest[stands == rest]
+        number[own] = np.arange(seen, seen + len(own), dtype=np.int32)
+        number[rest[same]] = number[stands[same]]
+        shown.append(own)
+        seen += len(own)
+        rest = rest[~same]
+    apart = np.concatenate([rest, np.flatnonzero(length > 16)])
+    number[apart] = np.arange(seen, seen + len(apart), dtype=np.int32)
+    return number, np.concatenate([*shown, apart])
+
+
+def encode_flat(texts: list[str], cache: Cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts, how many come before each text and in all, where pre-tokens start, and the first one's number for each text.
+
+    Each different pre-token is looked up once.
+    """
+    joined, places, first = pretokens.boundaries(texts)
+    if not len(places):
+        return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64), places, first
+    number, shown = _same_pieces(joined, places)
+    stops = np.append(places[1:], len(joined))
+    ids = [cache[joined[a:b]] for a, b in zip(places[shown].tolist(), stops[shown].tolist(), strict=True)]
+    known = np.frombuffer(b"".join(ids), "<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin = np.cumsum(size) - size
+    sizes = size[number]
+    before = np.append(0, np.cumsum(sizes))
+    at = np.repeat(begin[number] - before[:-1], sizes) + np.arange(before[-1])
+    return known[at], before[first], places, first
+
+
 def encode_texts(texts: list[str], cache: Cache) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Ids of each text as bytes; where pre-tokens start, and the first one's number for each text."""
-    joined, places, first = pretokens.boundaries(texts)
-    cuts = places.tolist()
-    cuts.append(len(joined))
-    ids = [cache[joined[a:b]] for a, b in pairwise(cuts)]
-    return [b"".join(ids[a:b]) for a, b in pairwise(first.tolist())], places, first
+    flat, before, places, first = encode_flat(texts, cache)
+    data = flat.tobytes()
+    return [data[4 * a : 4 * b] for a, b in pairwise(before.tolist())], places, first
 
 
 def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -68,6 +68,16 @@ def token_bytes(path: str, texts: list[str], cache: bpe.Cache) -> list[bytes]:
     return [ids + end for ids in bpe.encode_texts(texts, cache)[0]]
 
 
+def narrowed(ids: bytes, width: int) -> bytes:
+    """Ids of four bytes in so many bytes each; an error if one doesn't fit."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >> 8 * width:
+        raise ValueError(f"id {wide.max()} doesn't fit in {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
 def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece: whole if it fits, else pieces of the capacity of which the first may be shorter."""
     first = n_tokens if n_tokens <= capacity else n_tokens % capacity or capacity
@@ -88,9 +98,9 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
             for part, texts in _shared.slices(batch, "text"):
                 rows, owner = [], []
                 for i, ids in enumerate(token_bytes(path, texts, cache)):
+                    narrow = narrowed(ids, id_bytes) if with_ids else b""
                     for number, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + length)]
-                        rows.append((number, start, length, zlib.crc32(own), own if id_bytes == 4 or not with_ids else np.frombuffer(own, "<u4").astype(f"<u{id_bytes}").tobytes()))
+                        rows.append((number, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), narrow[id_bytes * start : id_bytes * (start + length)]))
                         owner.append(i)
                 number, start, length, crc, own = zip(*rows, strict=True)
                 columns = [part.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
@@ -134,7 +144,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     """Fractional packing of few sizes: configurations and their multiplicities, by column generation."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(40 * m):
+    for _ in range(40 * m):  # a safeguard: after so many rounds the configurations are valid still, only fewer
         amount = np.linalg.solve(basis, demand)
         price = np.linalg.solve(basis.T, np.ones(m))
         column, value = _best_configuration(sizes, price, capacity)

@@ -5,7 +5,8 @@ numbers; values past the last sequence are permuted again until they fall
 inside (cycle walking). So every sequence gets its own slot without a table of
 the permutation, and the slot says where it goes: a shard holds a range of
 slots, each at a fixed stride, so a reader finds slot s by arithmetic and
-resumes anywhere. Shards are rows of a Parquet table, which any store that
+resumes anywhere. A task writes a range of shards in order, so that files are
+read sequentially. Shards are rows of a Parquet table, which any store that
 Spark writes to can hold.
 """
 
@@ -24,6 +25,7 @@ from quillstone.llm import _shared, packing
 
 TOKENS = 512  # of a sequence, at most
 SHARD_SLOTS = 1024
+TASK_SHARDS = 16  # shards that one task writes, in order
 SEED = 20240229
 _ROUNDS = 6
 _HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("length", "<i4")])
@@ -100,7 +102,9 @@ def materialise(documents: DataFrame, path: str | None = None, tokens: int = TOK
 
     kept = ("doc_id", "piece", "length", "ids_crc32", "ids")
     placed = numbered.mapInArrow(place, "shard bigint, slot bigint, doc_id bigint, piece int, length int, ids_crc32 bigint, ids binary")
-    dealt = placed.repartition("shard").sortWithinPartitions("slot")
+    # Slots are dealt by range: a task's shards follow each other, and how much a task gets doesn't depend on the data.
+    parts = max(1, -(-total // (shard_slots * TASK_SHARDS)))
+    dealt = placed.repartitionById(parts, F.floor(F.col("shard") / TASK_SHARDS).cast("int")).sortWithinPartitions("slot")
     return _shared.settle(dealt.mapInArrow(fill, "shard bigint, first_slot bigint, slots int, index array<struct<doc_id:bigint,piece:int,length:int,ids_crc32:bigint>>, payload binary"), "shards")
 
 
