@@ -33,15 +33,22 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _STRIP, "")
 
 
+@lru_cache(maxsize=1)
+def _longer():
+    """The characters that become several, as a character class and as a map."""
+    longer = _ascii_of_characters()[2]
+    return "[" + "".join(longer) + "]", [x for pair in longer.items() for x in pair]
+
+
 def fold(text: Column) -> Column:
     """Lower case, compatibility decomposition, ASCII only: what is left of other characters is dropped."""
-    source, target, longer = _ascii_of_characters()
+    source, target, _ = _ascii_of_characters()
+    any_longer, pairs = _longer()
     lowered = F.lower(text)
-    spelled = lowered
-    for character, plain in longer.items():
-        spelled = F.replace(spelled, F.lit(character), F.lit(plain))
-    spelled = F.when(lowered.rlike("[" + "".join(longer) + "]"), spelled).otherwise(lowered)
-    plain = F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]", "")
+    table = F.create_map(*map(F.lit, pairs))  # one constant, looked up only in texts that hold such a character
+    spelled = F.array_join(F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    single = F.when(lowered.rlike(any_longer), spelled).otherwise(lowered)
+    plain = F.regexp_replace(F.translate(single, source, target), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(lowered)
 
 
@@ -120,16 +127,26 @@ def redact(text: Column) -> Column:
     return F.struct(out.alias("text"), counts.alias("counts"))
 
 
-def untrusted(text: Column) -> Column:
-    """Whether a document's text gives instructions to whoever reads it, rather than states facts."""
-    folded = strong_fold(F.coalesce(text, F.lit("")))
+def instructs(folded: Column, product: str | None = None) -> Column:
+    """Whether strongly folded text gives instructions; `product` is what the reading system is called, if it may be addressed by name."""
     # A dot stands for any character but a line feed.
     hit = F.lit(False)
-    for pattern in P.UNTRUSTED:
+    for pattern in P.untrusted(product):
         hit = hit | folded.rlike(f"(?d){pattern}")
     return hit | (folded.rlike(f"(?d){P.DISCLOSURE}") & ~folded.rlike(f"(?d){P.PROHIBITION}"))
 
 
+def may_instruct(folded: Column, product: str | None = None) -> Column:
+    """A word that every instruction has one of: without any, instructs() is false."""
+    return folded.rlike(rf"\b(?:{P.trigger(product)})")
+
+
+def untrusted(text: Column, product: str | None = None) -> Column:
+    """Whether a document's text gives instructions to whoever reads it, rather than states facts."""
+    folded = strong_fold(F.coalesce(text, F.lit("")))
+    return F.when(may_instruct(folded, product), instructs(folded, product)).otherwise(False)
+
+
 def iso_date(text: Column) -> Column:
     """YYYY-MM-DD from ISO, DD/MM/YYYY and English and French names; else the normalised text. No calendar check."""
     raw, folded = strip(text), normalize(text)

@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions import patterns as P
 from quillstone.functions import text as T
 
 
-def _hit(folded: Column) -> Column:
-    out = F.lit(False)
-    for pattern in P.UNTRUSTED:
-        out = out | folded.rlike(f"(?d){pattern}")
-    return out | (folded.rlike(f"(?d){P.DISCLOSURE}") & ~folded.rlike(f"(?d){P.PROHIBITION}"))
-
-
-def with_blocked(frame: DataFrame, values: str, blocked: str = "blocked") -> DataFrame:
+def with_blocked(frame: DataFrame, values: str, blocked: str = "blocked", product: str | None = None) -> DataFrame:
     """Add an array of booleans beside an array of fragments: which of them must not be used.
 
     Unsafe fragments are. If the others together are unsafe, all that aren't
-    blank are: an instruction may be split over lines.
+    blank are: an instruction may be split over lines. Fragments are only
+    looked at one by one where all of them together hold a word that an
+    instruction needs; `product` is a name that instructions may address.
     """
-    folded, flags, rest = "_folded", "_flags", "_rest"
-    out = frame.withColumn(folded, F.transform(values, T.strong_fold)).withColumn(flags, F.transform(folded, _hit))
+    may, folded, flags, rest = "_may", "_folded", "_flags", "_rest"
     # Folded fragments joined by a space fold to the same as the joined fragments.
+    out = frame.withColumn(may, T.may_instruct(T.strong_fold(F.array_join(values, "\n", "")), product))
+    out = out.withColumn(folded, F.when(F.col(may), F.transform(values, lambda v: T.strong_fold(F.coalesce(v, F.lit(""))))))
+    out = out.withColumn(flags, F.transform(folded, lambda f: T.instructs(f, product)))
     safe = F.filter(F.arrays_zip(F.col(folded).alias("f"), F.col(flags).alias("b")), lambda x: ~x["b"] & (x["f"] != ""))
     joined = F.regexp_replace(F.array_join(F.transform(safe, lambda x: x["f"]), " "), r"\bover\s+ride\b", "override")
-    out = out.withColumn(rest, _hit(joined))
+    out = out.withColumn(rest, T.instructs(joined, product))
     every = F.transform(values, lambda v: T.strip(v) != "")
-    merged = F.when(F.col(rest), F.zip_with(flags, every, lambda a, b: a | b)).otherwise(F.col(flags))
-    return out.withColumn(blocked, merged).drop(folded, flags, rest)
+    merged = F.when(F.col(may), F.when(F.col(rest), F.zip_with(flags, every, lambda a, b: a | b)).otherwise(F.col(flags)))
+    return out.withColumn(blocked, F.coalesce(merged, F.transform(values, lambda _: F.lit(False)))).drop(may, folded, flags, rest)
 
 
 def admitted(frame: DataFrame, values: str) -> DataFrame:
