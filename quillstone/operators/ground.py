@@ -15,7 +15,26 @@ CONTRADICTED = "The proposed answer conflicts with the retrieved passage."
 
 
 def grounding_errors(answers: DataFrame, ranked: DataFrame) -> DataFrame:
-    """question_id and error: the first rule that an answer breaks, or null.
+    """question_id and error: the first rule that an answer breaks, or null."""
+    return with_grounding_error(answers, ranked).select("question_id", F.col("grounding_error").alias("error"))
+
+
+def checked(answers: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The answers with grounding_error; those that break a rule are withheld with status `error`."""
+    held = with_grounding_error(answers, ranked)
+    sound = F.col("grounding_error").isNull()
+    blank = {"status": F.lit("error"), "answerable": F.lit(False), "answer": F.lit(""), "confidence": F.lit(0.0)}
+    out = []
+    for field in held.schema.fields:
+        kept = F.col(field.name)
+        if field.name not in ("question_id", "grounding_error"):
+            kept = F.when(sound, kept).otherwise(blank.get(field.name, F.lit(None)).cast(field.dataType)).alias(field.name)
+        out.append(kept)
+    return held.select(*out)
+
+
+def with_grounding_error(answers: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The answers with grounding_error, the first rule that each breaks, or null.
 
     Answers hold question_id and ANSWER_FIELDS. Each is held against the
     chunks ranked for its question, twenty or so, which are gathered beside it.
@@ -29,7 +48,7 @@ def grounding_errors(answers: DataFrame, ranked: DataFrame) -> DataFrame:
     values = F.flatten(F.map_values(F.coalesce("extracted_fields", F.create_map().cast("map<string,array<string>>"))))
     told = F.concat(F.array("answer", "supporting_excerpt"), F.transform("citations", lambda x: x["excerpt"]), values)
     rows = rows.withColumn("_told", F.filter(F.coalesce(told, F.array("answer", "supporting_excerpt")), lambda x: x.isNotNull()))
-    unsafe = F.exists("_told", T.untrusted)
+    unsafe = F.exists("_told", lambda x: T.untrusted(x))
     here = F.filter("_chunks", lambda x: (x["document_id"] == c("supporting_document")) & (x["page"] == c("supporting_page")))
     rows = rows.withColumn("_here", here)
     folded = T.fold(excerpt)
@@ -67,7 +86,7 @@ def grounding_errors(answers: DataFrame, ranked: DataFrame) -> DataFrame:
     error = F.when(F.lit(False), F.lit(None).cast("string"))
     for broken, name in rules:
         error = error.when(F.coalesce(broken, F.lit(False)), F.lit(name))
-    return rows.select("question_id", error.alias("error"))
+    return rows.select(*answers.columns, error.alias("grounding_error"))
 
 
 def nli_gate(drafts: DataFrame, entail_at: float, contradict_at: float) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
@@ -44,57 +47,108 @@ def identity_tokens(chunks: DataFrame) -> DataFrame:
     return named.distinct()
 
 
+def _by(rows: DataFrame, key: str, *values: str) -> DataFrame:
+    """For each key a map from question_id to its values: as many entries as there are questions, at most."""
+    entry = F.struct("question_id", F.struct(*values))
+    return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias(f"by_{key}"))
+
+
+def _products(questions: DataFrame):
+    """(question_id, q_place) and a Column function: a vector's inner products with all questions' vectors, in that order.
+
+    One matrix product a batch. Questions are at most MAX_QUESTIONS, so their
+    vectors fit the driver; those without a vector, or of another length than
+    the chunk's, have null.
+    """
+    rows = questions.select("question_id", "embedding").orderBy("question_id").collect()
+    order = questions.sparkSession.createDataFrame([(r["question_id"], i) for i, r in enumerate(rows)], f"question_id {questions.schema['question_id'].dataType.simpleString()}, q_place int")
+    by_length: dict[int, tuple[list[int], np.ndarray]] = {}
+    for n in {len(r["embedding"]) for r in rows if r["embedding"]}:
+        at = [i for i, r in enumerate(rows) if r["embedding"] and len(r["embedding"]) == n]
+        by_length[n] = at, np.array([rows[i]["embedding"] for i in at], float)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def products(vectors: pd.Series) -> pd.Series:
+        out: list = [None] * len(vectors)
+        lengths = [0 if v is None else len(v) for v in vectors]
+        for n, (places, asked) in by_length.items():
+            at = [i for i, x in enumerate(lengths) if x == n]
+            if at:
+                found = np.full((len(at), len(rows)), np.nan)
+                found[:, places] = np.stack([vectors.iloc[i] for i in at]).astype(float) @ asked.T
+                for i, own in zip(at, found, strict=True):
+                    out[i] = own
+        return pd.Series(out, index=vectors.index, dtype=object)
+
+    return order, products
+
+
 def scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Lexical, entity and dense scores of every question against every chunk in its scope.
+    """Lexical, entity and dense scores of every question against every chunk in its scope: question_id, chunk_id and numbers alone.
 
     Questions, with `embedding` and `model_id` for dense scores and
     `document_ids` for a scope if they have one, are a stated set of at most
-    MAX_QUESTIONS; they are broadcast, and chunks are read once. Statistics
-    on tokens come from equality joins on the token.
+    MAX_QUESTIONS; they are broadcast, and chunks are read once. What a
+    question shares with a chunk or a document comes from equality joins on
+    the token, and stands beside the chunk before it meets the questions, so
+    that pairs need no exchange.
     """
     asked = question_features(questions)
     if asked.limit(MAX_QUESTIONS + 1).count() > MAX_QUESTIONS:
         raise ValueError(f"more than {MAX_QUESTIONS} questions: ask in blocks")
-    tokens = asked.select("question_id", F.explode("q_tokens").alias("token"))
-    identity = identity_tokens(chunks)
-    named = tokens.join(identity, "token")
+    tokens = F.broadcast(asked.select("question_id", F.explode("q_tokens").alias("token"), "q_fields").select("question_id", "token", F.array_contains("q_fields", F.col("token")).cast("int").alias("is_field")))
     generic = F.col("token").isin(*P.GENERIC_TOKENS)
-    rare = named.where(~generic & (F.length("token") >= 4)).groupBy("question_id", "token").agg(F.count("*").alias("documents"), F.min("document_id").alias("document_id")).where("documents = 1")
+    named = identity_tokens(chunks).join(tokens, "token").where(~generic & (F.length("token") >= 4))
+    rare = named.groupBy("question_id", "token").agg(F.count("*").alias("documents"), F.min("document_id").alias("document_id")).where("documents = 1")
     entity = rare.select("question_id", "document_id").distinct().withColumn("entity", F.lit(1.0))
+    covered = document_tokens(chunks).join(tokens, "token").groupBy("question_id", "document_id").agg(F.count("*").alias("document_hits"))
+    about = covered.join(entity, ["question_id", "document_id"], "full_outer").na.fill({"document_hits": 0, "entity": 0.0})
+    said = chunks.select("chunk_id", F.explode(T.lexical_tokens(F.col("text"))).alias("token")).join(tokens, "token")
+    local = said.groupBy("question_id", "chunk_id").agg(F.count("*").alias("local_hits"), F.sum("is_field").alias("field_hits"))
+
+    # A few numbers and, where there are any, vectors of each question.
     distinctive = rare.select("question_id").distinct().withColumn("distinctive", F.lit(True))
-    covered = tokens.join(document_tokens(chunks), "token").groupBy("question_id", "document_id").agg(F.count("*").alias("document_hits"))
-
-    asked = asked.join(distinctive, "question_id", "left")
-    scope = F.lit(True)
-    if "document_ids" in questions.columns:
-        scope = F.col("document_ids").isNull() | F.array_contains("document_ids", F.col("document_id"))
-    with_tokens = chunks.withColumn("c_tokens", T.lexical_tokens(F.col("text")))
-    pairs = with_tokens.join(F.broadcast(asked.withColumnsRenamed({"embedding": "q_embedding", "model_id": "q_model_id"})), scope)
-    pairs = pairs.join(covered, ["question_id", "document_id"], "left").join(entity, ["question_id", "document_id"], "left")
-
-    size = F.greatest(F.size("q_tokens"), F.lit(1))
-    local, document = F.size(F.array_intersect("q_tokens", "c_tokens")) / size, F.coalesce("document_hits", F.lit(0)) / size
-    field = F.size(F.array_intersect("q_fields", "c_tokens")) / F.size("q_fields")
-    entity_score = F.coalesce("entity", F.lit(0.0))
-    in_scope = F.array_contains(T.lexical_tokens(F.col("document_name")), F.col("q_scope")).cast("double")
-    has_fields = F.size("q_fields") > 0
+    asked = asked.join(distinctive, "question_id", "left").withColumns({"q_size": F.greatest(F.size("q_tokens"), F.lit(1)), "n_fields": F.size("q_fields")})
+    vectors = "embedding" in questions.columns
+    columns = ["question_id", "q_size", "n_fields", "q_scope", "distinctive"] + ["document_ids"] * ("document_ids" in questions.columns)
+    asked = asked.select(*columns, *(["model_id"] if vectors else []))
+    if vectors:
+        order, products = _products(questions)
+        asked = asked.join(F.broadcast(order), "question_id")
+    scope = F.array_contains("name_tokens", F.col("q_scope")).cast("double")
+    thin = chunks.select("chunk_id", "document_id", T.lexical_tokens(F.col("document_name")).alias("name_tokens"), *([products("embedding").alias("products"), "embedding_model_id"] if vectors else []))
+    thin = thin.join(_by(about, "document_id", "document_hits", "entity"), "document_id", "left").join(_by(local, "chunk_id", "local_hits", "field_hits"), "chunk_id", "left")
+    allowed = F.lit(True)
+    if "document_ids" in columns:
+        allowed = F.col("document_ids").isNull() | F.array_contains("document_ids", F.col("document_id"))
+    pairs = thin.join(F.broadcast(asked), allowed)
+
+    near, around = F.try_element_at("by_chunk_id", F.col("question_id")), F.try_element_at("by_document_id", F.col("question_id"))
+    pairs = pairs.withColumns({"near": near, "around": around})
+    number = lambda of, name: F.coalesce(F.col(of)[name], F.lit(0))
+    local_share, document = number("near", "local_hits") / F.col("q_size"), number("around", "document_hits") / F.col("q_size")
+    field, entity_score = number("near", "field_hits") / F.col("n_fields"), F.coalesce(F.col("around")["entity"], F.lit(0.0))
+    has_fields = F.col("n_fields") > 0
     lexical = (
-        F.when(has_fields & F.col("distinctive"), 0.40 * field + 0.15 * local + 0.10 * document + 0.35 * entity_score)
-        .when(has_fields & F.col("q_scope").isNotNull(), 0.50 * field + 0.15 * local + 0.10 * document + 0.25 * in_scope)
-        .when(has_fields, 0.65 * field + 0.25 * local + 0.10 * document)
-        .when(F.col("distinctive"), 0.55 * local + 0.10 * document + 0.35 * entity_score)
-        .otherwise(0.8 * local + 0.2 * document)
+        F.when(has_fields & F.col("distinctive"), 0.40 * field + 0.15 * local_share + 0.10 * document + 0.35 * entity_score)
+        .when(has_fields & F.col("q_scope").isNotNull(), 0.50 * field + 0.15 * local_share + 0.10 * document + 0.25 * scope)
+        .when(has_fields, 0.65 * field + 0.25 * local_share + 0.10 * document)
+        .when(F.col("distinctive"), 0.55 * local_share + 0.10 * document + 0.35 * entity_score)
+        .otherwise(0.8 * local_share + 0.2 * document)
     )
     dense, compatible = F.lit(0.0), F.lit(False)
-    if "embedding" in questions.columns:
-        compatible = F.col("embedding_model_id") == F.col("q_model_id")
-        dense = F.when(compatible, V.cosine_of_units(F.col("embedding"), F.col("q_embedding"))).otherwise(0.0)
+    if vectors:
+        compatible = F.coalesce(F.col("embedding_model_id") == F.col("model_id"), F.lit(False))
+        dense = F.when(compatible, V.clamp(F.coalesce(F.get("products", F.col("q_place")), F.lit(0.0)), -1.0, 1.0)).otherwise(0.0)
     # Scores are rounded before ranking, so that equal ones tie on every run.
-    return pairs.select("question_id", "intent", "q_tokens", "chunk_id", "document_id", "document_name", "page", "section", "text", F.round(lexical, 8).alias("lexical_score"), F.round(dense, 8).alias("dense_score"), entity_score.alias("entity_score"), compatible.alias("compatible"))
+    return pairs.select("question_id", "chunk_id", F.round(lexical, 8).alias("lexical_score"), F.round(dense, 8).alias("dense_score"), entity_score.alias("entity_score"), compatible.alias("compatible"))
 
 
 def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit: int = P.RETRIEVAL_LIMIT) -> DataFrame:
-    """The best chunks of each question: question_id, chunk_id, rank, score and what it is made of."""
+    """The best chunks of each question: question_id, chunk_id, rank, score, what it is made of, and the chunk's own columns.
+
+    Only identifiers and numbers are ranked; texts join the few that are left.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     if limit < 1:
@@ -109,17 +163,20 @@ def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit:
         order = [F.desc("score"), "chunk_id"]
     else:
         ranked = scored.withColumn("lexical_rank", F.row_number().over(by(F.desc("lexical_score"), "chunk_id")))
-        dense_rank = F.row_number().over(Window.partitionBy("question_id", "compatible").orderBy(F.desc("dense_score"), "chunk_id"))
+        dense_rank = F.row_number().over(by(F.desc("compatible"), F.desc("dense_score"), "chunk_id"))
         ranked = ranked.withColumn("dense_rank", F.when(F.col("compatible"), dense_rank))
         one, two = 1 / (P.RRF_K + F.col("lexical_rank")), 1 / (P.RRF_K + F.col("dense_rank"))
         fused = F.when(F.col("dense_rank").isNull(), one).otherwise((one + two) / 2) + P.ENTITY_BOOST * F.col("entity_score")
         scored = ranked.withColumn("score", F.round(fused, 8))
         order = [F.desc("score"), F.desc("lexical_score"), "chunk_id"]
-    if method != "hybrid_rerank":
-        return _top(scored, order, limit).withColumn("rerank_score", F.lit(None).cast("double"))
-    window = _top(scored, order, max(4 * limit, 20))
-    reranked = window.drop("rank").withColumn("rerank_score", F.lit(0.0)).drop("rerank_score")
-    return _top(with_rerank_score(reranked), [F.desc("rerank_score"), F.desc("score"), "chunk_id"], limit)
+    again = method == "hybrid_rerank"
+    best = _top(scored, order, max(4 * limit, 20) if again else limit)
+    best = best.select("question_id", "chunk_id", "rank", "score", "lexical_score", "dense_score", "entity_score")
+    features = question_features(questions).select("question_id", "intent", "q_tokens")
+    out = best.join(F.broadcast(features), "question_id").join(chunks.select("chunk_id", "document_id", "document_name", "page", "section", "text"), "chunk_id")
+    if not again:
+        return out.withColumn("rerank_score", F.lit(None).cast("double"))
+    return _top(with_rerank_score(out.drop("rank")), [F.desc("rerank_score"), F.desc("score"), "chunk_id"], limit)
 
 
 def _top(scored: DataFrame, order: list, limit: int) -> DataFrame:
