@@ -50,45 +50,73 @@ class Ingest:
         newest = Window.partitionBy("document_id").orderBy(F.desc("batch"))
         return self.table("status").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
+    def withdraw(self, documents: DataFrame, number: int) -> None:
+        """Documents (document_id) that are deleted, also while a batch that holds them is under way."""
+        self._write(documents.select("document_id"), "withdrawn", number)
+
+    def withdrawn(self) -> DataFrame:
+        return self.table("withdrawn", "document_id string, batch bigint").select("document_id").distinct()
+
     def handle(self, batch: DataFrame, number: int) -> None:
-        """One micro-batch of uploads."""
+        """One micro-batch of uploads.
+
+        An upload without data is one whose file can't be read now: it is
+        queued again, until it has been tried MAX_ATTEMPTS times. What is
+        wrong with a file itself is final.
+        """
         before = self.table("status").where(F.col("batch") < number)
         newest = Window.partitionBy("document_id").orderBy(F.desc("batch"))
         known = before.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
         digest = F.sha2("data", 256)
         arrived = batch.withColumn("digest", digest).dropDuplicates(["document_id"])
-        withdrawn = arrived.where("deleted")
-        fresh = arrived.where("NOT coalesce(deleted, false)")
-        first = fresh.groupBy("dossier_id", "digest").agg(F.min("document_id").alias("document_id"))  # of equal contents in a dossier
-        fresh = fresh.join(first, ["dossier_id", "digest", "document_id"], "left_semi")
+        is_gone = F.col("gone").isNotNull() | F.coalesce("deleted", F.lit(False))
+        arrived = arrived.join(self.withdrawn().withColumn("gone", F.lit(True)), "document_id", "left")
+        withdrawn = arrived.where(is_gone)
+        fresh = arrived.where(~is_gone).drop("gone")
+        # Of equal contents in a dossier one is taken; files that can't be read have none yet.
+        first = fresh.groupBy("dossier_id", F.coalesce("digest", "document_id").alias("same")).agg(F.min("document_id").alias("document_id"))
+        fresh = fresh.join(first.select("document_id"), "document_id", "left_semi")
         # What the dossier holds under another id, and what is completed or withdrawn, is not taken again.
         active = known.where("status IN ('completed', 'processing', 'queued')").select("dossier_id", "digest", F.col("document_id").alias("_other"))
         fresh = fresh.join(active, (fresh["dossier_id"] == active["dossier_id"]) & (fresh["digest"] == active["digest"]) & (fresh["document_id"] != active["_other"]), "left_anti")
         settled = known.where("status IN ('completed', 'deleted', 'failed')").select("document_id")
         fresh = fresh.join(settled, "document_id", "left_anti").persist()
         tried = known.select("document_id", F.col("attempts").alias("_tried"))
-        pages, parse_errors = parse.parse(fresh.select("document_id", "media_type", "data"))
-        chunks, chunk_errors = parse.chunk(pages)
+        readable = fresh.where("data IS NOT NULL")
+        pages, parse_errors = parse.parse(readable.select("document_id", "media_type", "data"))
+        chunks, chunk_errors = parse.document_chunks(pages)
         fields = extract.extract_labelled(chunks)
         self._write(chunks, "chunks", number)
         self._write(fields, "fields", number)
-        errors = parse_errors.unionByName(chunk_errors)
+        unread = fresh.where("data IS NULL").select("document_id", F.lit("storage_unavailable").alias("error_code"))
+        errors = parse_errors.unionByName(chunk_errors).unionByName(unread)
         attempts = F.coalesce("_tried", F.lit(0)) + 1
         outcome = fresh.join(errors, "document_id", "left").join(tried, "document_id", "left").withColumn("attempts", attempts)
-        status, _ = next_state(F.col("error_code"), F.col("attempts"), F.lit(True))  # parse errors are final
-        done = outcome.select("document_id", "dossier_id", "digest", status.alias("status"), "error_code", "attempts")
+        # Deletions are looked at once more: what was withdrawn meanwhile doesn't count as done.
+        late = self.withdrawn().withColumn("late", F.lit(True))
+        final = ~F.coalesce(F.col("error_code") == "storage_unavailable", F.lit(False))
+        status, _ = next_state(F.col("error_code"), F.col("attempts"), final)
+        done = outcome.join(late, "document_id", "left").select(
+            "document_id", "dossier_id", "digest", F.when(F.col("late"), "deleted").otherwise(status).alias("status"),
+            F.when(F.col("late"), "document_deleted").otherwise(F.col("error_code")).alias("error_code"), "attempts",
+        )
         gone = withdrawn.select("document_id", "dossier_id", "digest", F.lit("deleted").alias("status"), F.lit("document_deleted").alias("error_code"), F.lit(0).alias("attempts"))
         self._write(done.unionByName(gone), "status", number)
         fresh.unpersist()
 
+    def due(self) -> DataFrame:
+        """document_id and seconds to wait of what is to be handed in again."""
+        _, delay = next_state(F.col("error_code"), F.col("attempts"), F.lit(False))
+        return self.status().where("status = 'queued'").select("document_id", delay.alias("seconds"))
+
     def start(self, uploads: str, checkpoint: str):
         """Take all files that are there, in micro-batches, and stop."""
         stream = self.spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1000).parquet(uploads)
         return stream.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def content(self) -> DataFrame:
-        """Chunks of completed documents that weren't withdrawn."""
-        return self.table("chunks").join(self.status().where("status = 'completed'").select("document_id"), "document_id", "left_semi").drop("batch")
+        """Chunks of completed documents that weren't withdrawn, at no time."""
+        return self.table("chunks").join(self.withdrawn(), "document_id", "left_anti").join(self.status().where("status = 'completed'").select("document_id"), "document_id", "left_semi").drop("batch")
 
 
 def audit_log(status: DataFrame) -> DataFrame:
