@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
-from quillstone.operators import evaluate
+from quillstone.operators import evaluate, service
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +34,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one if all runs on this machine, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quillstone-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that is scanned in fewer tasks than there are cores, dealt to all of them; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # --- joins ----------------------------------------------------------------
 
 
@@ -63,10 +81,10 @@ def r_semi_dedup(spark, d):
     return documents.join(known, "digest", "left_semi").select("doc_id", "digest")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def r_anti_new(spark, d):
-    """Customers without any order."""
-    customers, orders = read(spark, d, "customer"), read(spark, d, "orders").select("o_custkey")
+    """Customers without any finished urgent order."""
+    customers, orders = read(spark, d, "customer"), read(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select("o_custkey")
     return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -150,11 +168,17 @@ def f_unsafe_instruction(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.untrusted(F.col("text")).alias("unsafe"))
 
 
-@query("SELECT role, action, true AS allowed FROM (VALUES " + ", ".join(f"('{r}', '{a}')" for r, actions in P.ROLE_ACTIONS.items() for a in actions) + ") t(role, action)")
+_ROLES, _ACTIONS = (*P.ROLE_ACTIONS, "guest"), P.ROLE_ACTIONS["admin"]
+_sql_list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_sql_list(_ROLES)}[1 + c_custkey % {len(_ROLES)}] AS role, {_sql_list(_ACTIONS)}[1 + c_nationkey % {len(_ACTIONS)}] AS action FROM customer)
+SELECT c_custkey, role, action FROM c WHERE (role, action) IN (VALUES """ + ", ".join(f"('{r}', '{a}')" for r, actions in P.ROLE_ACTIONS.items() for a in actions) + ")")
 def f_role_actions(spark, d):
-    """Which of all roles and actions are allowed."""
-    rows = [(r, a, a in allowed) for r, allowed in P.ROLE_ACTIONS.items() for a in P.ROLE_ACTIONS["admin"]]
-    return spark.createDataFrame(rows, "role string, action string, allowed boolean").where("allowed")
+    """Customers as principals of some role who may do what they ask for."""
+    pick = lambda values, key: F.element_at(F.lit(list(values)), (F.col(key) % len(values) + 1).cast("int"))
+    asked = read(spark, d, "customer").select("c_custkey", pick(_ROLES, "c_custkey").alias("role"), pick(_ACTIONS, "c_nationkey").alias("action"))
+    return service.allowed(asked, F.col("action"))
 
 
 # --- aggregates -----------------------------------------------------------
@@ -348,20 +372,93 @@ def s_duplicate_keys(spark, d):
 # --- writes ---------------------------------------------------------------
 
 
-@query("""SELECT coalesce(n.c_custkey, c.c_custkey) AS c_custkey, coalesce(n.role, 'reader') AS role, coalesce(n.active, false) AS active FROM customer c
-FULL JOIN (SELECT o_custkey AS c_custkey, CASE WHEN count(*) > 10 THEN 'admin' ELSE 'analyst' END AS role, true AS active FROM orders GROUP BY 1) n ON n.c_custkey = c.c_custkey""")
+@query("""WITH u AS (SELECT 'user' || c_custkey AS username, 'h' || c_nationkey AS password_hash, CASE WHEN c_custkey % 2 = 0 THEN 'reader' ELSE 'analyst' END AS role, c_acctbal >= 0 AS is_active FROM customer),
+n AS (SELECT 'user' || o_custkey * 2 AS username, 'n' || count(*) AS password_hash, CASE WHEN count(*) > 12 THEN NULL WHEN count(*) > 8 THEN 'admin' ELSE 'analyst' END AS role FROM orders GROUP BY o_custkey)
+SELECT coalesce(u.username, n.username) AS username, coalesce(n.password_hash, u.password_hash) AS password_hash, coalesce(n.role, u.role) AS role, CASE WHEN n.username IS NOT NULL THEN n.role IS NOT NULL ELSE u.is_active END AS is_active
+FROM u FULL JOIN n ON u.username = n.username WHERE u.role IS NOT NULL OR n.role IS NOT NULL""")
 def k_upsert_users(spark, d):
-    """Insert or refresh; deactivate those that aren't named any more."""
-    named = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.when(F.count("*") > 10, "admin").otherwise("analyst").alias("role"), F.lit(True).alias("active"))
-    return read(spark, d, "customer").select("c_custkey").join(named, "c_custkey", "full_outer").select("c_custkey", F.coalesce("role", F.lit("reader")).alias("role"), F.coalesce("active", F.lit(False)).alias("active"))
+    """Users inserted, refreshed or deactivated, written as a table and read again."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    users = read(spark, d, "customer").select(text("user", F.col("c_custkey")).alias("username"), text("h", F.col("c_nationkey")).alias("password_hash"), F.when(F.col("c_custkey") % 2 == 0, "reader").otherwise("analyst").alias("role"), (F.col("c_acctbal") >= 0).alias("is_active"))
+    n = F.count("*")
+    named = read(spark, d, "orders").groupBy("o_custkey").agg(text("n", n).alias("password_hash"), F.when(n > 12, F.lit(None)).when(n > 8, "admin").otherwise("analyst").alias("role")).withColumn("username", text("user", F.col("o_custkey") * 2))
+    folder = scratch(spark, "users")
+    service.upsert_users(users, named).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@query("""WITH g AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT 'document' AS kind, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM g) THEN 'deleted' ELSE 'completed' END AS status FROM documents
+UNION ALL SELECT 'task', doc_id, CASE WHEN doc_id % 3 > 0 AND doc_id IN (SELECT doc_id FROM g) THEN 'failed' WHEN doc_id % 3 = 0 THEN 'completed' ELSE 'queued' END FROM documents
+UNION ALL SELECT 'chunk', doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g)""")
+def k_soft_delete(spark, d):
+    """Documents that are withdrawn keep their row, their open task fails, and what was derived from them goes: all three tables afterwards."""
+    at, never = F.lit("2026-01-01").cast("timestamp"), F.lit(None).cast("timestamp")
+    ids = read(spark, d, "documents").select("doc_id")
+    documents = ids.select(F.col("doc_id").alias("id"), F.lit("completed").alias("status"), never.alias("deleted_at"))
+    tasks = ids.select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, "completed").otherwise("queued").alias("status"), F.lit(None).cast("string").alias("error_code"), never.alias("completed_at"))
+    chunks = ids.select(F.col("doc_id").alias("document_id"))
+    after = service.soft_delete(documents, tasks, {"chunks": chunks}, read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id")), at)
+    rows = after["documents"].select(F.lit("document").alias("kind"), F.col("id").alias("doc_id"), "status")
+    rows = rows.unionByName(after["tasks"].select(F.lit("task").alias("kind"), F.col("document_id").alias("doc_id"), "status"))
+    return rows.unionByName(after["chunks"].select(F.lit("chunk").alias("kind"), F.col("document_id").alias("doc_id"), F.lit(None).cast("string").alias("status")))
 
 
-@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'deleted' ELSE 'completed' END AS status, CASE WHEN l.toxic = 1 THEN 'document_deleted' END AS error_code FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def k_soft_delete(spark, d):
-    """Documents that are withdrawn keep their row with another status."""
-    gone = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    rows = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.when(gone, "deleted").otherwise("completed").alias("status"), F.when(gone, "document_deleted").alias("error_code"))
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 1 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def k_insert_new(spark, d):
+    """An insert that is run twice: only what isn't there yet is appended."""
+    there = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    rows = read(spark, d, "customer").where("c_custkey % 2 = 1").select("c_custkey", "c_name")
+    first = service.insert_new(there, rows, ["c_custkey"])
+    return first.unionByName(service.insert_new(there.unionByName(first.select("c_custkey")), rows, ["c_custkey"]))
+
+
+@query("""SELECT event_id, map_from_entries(list_filter(map_entries(MAP {'k': json_extract_string(props, '$.k'), 'seed': event_type, 'value': value::VARCHAR}), lambda e: e.key <> 'seed'))['k'] AS k, 2::INTEGER AS kept FROM events""")
+def k_run_record(spark, d):
+    """What a run's record keeps of its result: not what is a column of its own."""
+    result = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("seed"), F.col("event_type"), F.lit("value"), F.col("value").cast("string"))
+    rows = read(spark, d, "events").select("event_id", service.run_record(result).alias("m"))
+    return rows.select("event_id", F.element_at("m", "k").alias("k"), F.size("m").alias("kept"))
+
+
+@query("""SELECT o_orderkey AS id, o_custkey AS dossier_id, o_orderdate AS created_at FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) AND o_orderstatus <> 'F'""")
+def v_listing(spark, d):
+    """One dossier's documents that aren't deleted, newest first."""
+    first = read(spark, d, "orders").agg(F.min("o_custkey")).first()[0]
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("dossier_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"))
+    return service.listing(rows, first).drop("deleted_at")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'auto')""")
+def v_search(spark, d):
+    return service.search(read(spark, d, "customer"), ["c_name", "c_mktsegment"], " Auto ").select("c_custkey", "c_name")
+
+
+@query("""SELECT count(*) FILTER (o_orderstatus = 'F') AS completed, bool_or(o_orderstatus = 'O') AS pending FROM orders""")
+def v_progress(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
+    return service.progress(read(spark, d, "orders").select(status.alias("status")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, replace(format('{:.1f}', l_discount * 100), '.', ',') || ' %' AS shown, CASE WHEN l_discount >= 0.05 THEN 'at or above' ELSE 'below' END AS label FROM lineitem""")
+def v_display(spark, d):
+    """Shares as they are shown, and on which side of a threshold they are."""
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", service.percentage(F.col("l_discount"), "not measured").alias("shown"), service.threshold_label(F.col("l_discount"), 0.05).alias("label"))
+
+
+@query("""SELECT c_custkey, 0 AS place FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_nationkey < 5 AND c_mktsegment <> 'BUILDING'""")
+def v_upsert_first(spark, d):
+    """New rows before the others, each key once."""
+    rows = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return service.upsert_first(rows.where("c_nationkey < 5"), rows.where("c_mktsegment = 'BUILDING'"), "c_custkey").select("c_custkey", "place")
+
+
+@query("""SELECT event_id AS document_id, 'k' AS field, json_extract_string(props, '$.k') AS value, '[]' AS citations FROM events WHERE event_type = 'purchase'""")
+def v_field_rows(spark, d):
+    """Payload entries that are fields, one row each; others go."""
+    k = F.get_json_object("props", "$.k")
+    field = F.concat(F.lit('{"k":{"value":'), k, F.lit(',"citations":'), F.when(F.col("event_type") == "purchase", "[]").otherwise('"none"'), F.lit('},"other":{"value":1}}'))
+    return service.field_rows(read(spark, d, "events").select(F.col("event_id").alias("document_id"), field.alias("payload")))
 
 
 @query("""SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events""")

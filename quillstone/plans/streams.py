@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from quillstone.plans.relational import query, read
+from quillstone.plans.relational import query, read, scratch
 from quillstone.streaming import ingest, rate_limit
 
 
-def _folder(spark, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 @query("""SELECT min(doc_id::VARCHAR) AS document_id, source AS dossier_id, sha256(text) AS digest, 'completed' AS status FROM documents GROUP BY source, sha256(text)""")
 def m_stream_ingest(spark, d):
     """All documents uploaded to the dossier of their source, parsed, chunked and indexed: the state they come to."""
-    folder = _folder(spark, "ingest")
+    folder = scratch(spark, "ingest")
     uploads = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("dossier_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("data"), F.lit(1).alias("attempt"), F.lit(False).alias("deleted"))
     uploads.write.parquet(f"{folder}/uploads")
     engine = ingest.Ingest(spark, f"{folder}/engine")
@@ -28,7 +19,13 @@ def m_stream_ingest(spark, d):
     return engine.status().select("document_id", "dossier_id", "digest", "status")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS m, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, [m] AS log, true AS admitted, 0::BIGINT AS retry_after FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN len(list_filter(r.log, lambda t: t > o.m - 3600000000)) < 3 THEN list_append(list_filter(r.log, lambda t: t > o.m - 3600000000), o.m) ELSE list_filter(r.log, lambda t: t > o.m - 3600000000) END,
+len(list_filter(r.log, lambda t: t > o.m - 3600000000)) < 3,
+CASE WHEN len(list_filter(r.log, lambda t: t > o.m - 3600000000)) < 3 THEN 0 ELSE greatest(1, ceil((list_min(list_filter(r.log, lambda t: t > o.m - 3600000000)) + 3600000000 - o.m) / 1000000.0)) END::BIGINT
+FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id AS client, event_id AS request_id, admitted, retry_after FROM r""")
 def m_rate_limit(spark, d):
     """Which events a limiter of three a user and hour admits."""
     requests = read(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
@@ -38,7 +35,7 @@ def m_rate_limit(spark, d):
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def m_windowed_counts(spark, d):
     """Daily counts of events by a stream with a watermark, run to its end."""
-    folder = _folder(spark, "windows")
+    folder = scratch(spark, "windows")
     events = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     events.write.parquet(f"{folder}/events")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events").withWatermark("ts", "1 day")
