@@ -16,6 +16,7 @@ from quillstone.operators import extract
 from quillstone.sources import parse
 
 UPLOAD = "document_id string, dossier_id string, filename string, media_type string, data binary, attempt int, deleted boolean"
+CHUNKS = "chunk_id string, document_id string, page int, section string, ordinal int, text string, batch bigint"
 STATUS = "document_id string, dossier_id string, digest string, status string, error_code string, attempts int, batch bigint"
 MAX_ATTEMPTS = 3
 RETRY_SECONDS = 2
@@ -54,6 +55,10 @@ class Ingest:
         """Documents (document_id) that are deleted, also while a batch that holds them is under way."""
         self._write(documents.select("document_id"), "withdrawn", number)
 
+    def write_status(self, rows: DataFrame, number: int) -> None:
+        """States that documents came to outside a batch."""
+        self._write(rows, "status", number)
+
     def withdrawn(self) -> DataFrame:
         return self.table("withdrawn", "document_id string, batch bigint").select("document_id").distinct()
 
@@ -116,7 +121,7 @@ class Ingest:
 
     def content(self) -> DataFrame:
         """Chunks of completed documents that weren't withdrawn, at no time."""
-        return self.table("chunks").join(self.withdrawn(), "document_id", "left_anti").join(self.status().where("status = 'completed'").select("document_id"), "document_id", "left_semi").drop("batch")
+        return self.table("chunks", CHUNKS).join(self.withdrawn(), "document_id", "left_anti").join(self.status().where("status = 'completed'").select("document_id"), "document_id", "left_semi").drop("batch")
 
 
 def audit_log(status: DataFrame) -> DataFrame:
