@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_settled: list[tuple[SparkSession, str]] = []
+#: Tables written by settle(), by the run they belong to; None is for operators that are called by themselves.
+_settled: dict[str | None, list[tuple[SparkSession, str]]] = {}
+_run: list[str | None] = [None]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one of our own if all runs on this machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         folder = sc.getCheckpointDir()
         if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
             folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -59,22 +63,45 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/quillstone-{uuid.uuid4().hex[:12]}-{label}"
     with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _settled.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _settled.setdefault(_run[-1], []).append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
 
 
-def keep() -> None:
-    """Exempt what is settled last from release()."""
-    _settled.pop()
+@contextlib.contextmanager
+def run(name: str):
+    """Tables settled inside belong to the run of this name."""
+    _run.append(name)
+    try:
+        yield
+    finally:
+        _run.pop()
+
+
+def keep(df: DataFrame) -> None:
+    """Exempt a settled frame's table from release()."""
+    for tables in _settled.values():
+        tables[:] = [x for x in tables if x[1] != df.settled_path]
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of settled frames that nothing reads any more."""
+    for df in frames:
+        keep(df)
+        _delete(df.sparkSession, df.settled_path)
+
+
+def release(name: str | None = None) -> None:
+    """Delete all tables of a run. Call when no frame built on one will be read again; other runs' tables stay."""
+    for spark, path in _settled.pop(name, []):
+        _delete(spark, path)
 
 
-def release() -> None:
-    """Delete every settled table. Call when no frame built on one will be read again."""
-    while _settled:
-        spark, path = _settled.pop()
-        with contextlib.suppress(Exception):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_chars: int = 2_000_000):

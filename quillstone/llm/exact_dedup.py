@@ -176,16 +176,18 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
 
     Rows that repeat the staying doc_id with the same text all stay. Of a text
     that only rows with null doc_id have, one row stays. A doc_id that stays
-    for one text doesn't keep its rows with other texts.
+    for one text doesn't keep its rows with other texts. A null text counts as
+    empty, columns may have any name, and an empty table gives an empty result.
     """
     keep = duplicates(documents, **options).where("kept").select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_text")).distinct()
-    rows = documents.withColumn("keep_key", F.sha2(_shared.text_or_empty().cast("binary"), 256))
-    named = rows.where("doc_id IS NOT NULL").join(keep, (F.col("doc_id") == F.col("keep_doc")) & (F.col("keep_key") == F.col("keep_text")), "left_semi")
+    # Columns are packed away, so that none can clash.
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.sha2(_shared.text_or_empty().cast("binary"), 256).alias("own_text"))
+    named = rows.where("own_id IS NOT NULL").join(keep, (F.col("own_id") == F.col("keep_doc")) & (F.col("own_text") == F.col("keep_text")), "left_semi")
     # Rows without a doc_id are numbered, so that one of each text stays.
-    nameless, _ = _shared.number_rows(rows.where("doc_id IS NULL"), "nameless", "keep_n")
-    first = nameless.groupBy("keep_key").agg(F.min("keep_n").alias("keep_n")).join(keep.where("keep_doc IS NULL"), F.col("keep_key") == F.col("keep_text"), "left_semi")
-    alone = nameless.join(first.select("keep_n"), "keep_n", "left_semi")
-    return named.select(*documents.columns).unionByName(alone.select(*documents.columns))
+    nameless, _ = _shared.number_rows(rows.where("own_id IS NULL"), "nameless", "own_n")
+    first = nameless.groupBy("own_text").agg(F.min("own_n").alias("own_n")).join(keep.where("keep_doc IS NULL"), F.col("own_text") == F.col("keep_text"), "left_semi")
+    alone = nameless.join(first.select("own_n"), "own_n", "left_semi")
+    return named.select("row.*").unionByName(alone.select("row.*"))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,9 +20,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         large = _star(_both_ways(edges), larger=True)
         small = _shared.settle(_star(large, larger=False), "star")
-        changed = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
+        # Both are distinct: they are equal if as many are in either as in both.
+        sizes = {edges.count(), small.count()}
+        done = len(sizes) == 1 and edges.join(small, ["u", "v"]).count() in sizes
+        _shared.discard(edges)
         edges = small
-        if changed:
+        if done:
             break
     # All edges now point from a node (u) to its component's smallest node (v).
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -371,18 +371,24 @@ def classify(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that are not rejected, with all their columns. Each row counts by itself, also where doc_id is null or repeats."""
+    """The rows that are not rejected, with all their columns, whatever their names.
+
+    Each row counts by itself, also where doc_id is null or repeats. A null
+    text counts as empty; an empty table gives an empty result, and without
+    labels of both kinds all rows stay.
+    """
     model = train(documents, labels, **options)
     if model is None:
         return documents
     names, seen = documents.columns, ["source", "lang", "n_chars"]
-    view = [(F.col(c) if c in names else F.lit(None)).cast(kind).alias(f"seen_{c}") for c, kind in zip(seen, ("string", "string", "long"), strict=True)]
+    prefix = "seen_" + "_" * max(map(len, names))  # longer than any name there is
+    view = [(F.col(c) if c in names else F.lit(None)).cast(kind).alias(prefix + c) for c, kind in zip(seen, ("string", "string", "long"), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits_of = _scorer(model)
         for batch in batches:
             for part, texts in _shared.slices(batch, "text"):
-                logits = logits_of(texts, zip(*(part.column(f"seen_{c}").to_pylist() for c in seen), strict=True))
+                logits = logits_of(texts, zip(*(part.column(prefix + c).to_pylist() for c in seen), strict=True))
                 yield part.select(names).filter(pa.array(_sigmoid(logits @ model.blend[0] + model.blend[1]) >= model.threshold))
 
     return documents.select("*", *view).mapInArrow(run, documents.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm import _shared, graph
+from quillstone.llm import _shared, graph, near_texts
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -92,6 +92,8 @@ def _near(x: Column, y: Column) -> Column:
 
 def links(nodes: DataFrame, most: int = BUCKET_MOST) -> DataFrame:
     """Edges (a, b) whose closure links all fingerprints at most two bits apart. Takes distinct fingerprints: fp."""
+    # Files of nodes are few and small: each fingerprint makes 64 rows, so they are dealt out first.
+    nodes = nodes.repartition("fp")
     variants = nodes.select("fp", _variants(F.col("fp")).alias("key"))
     buckets = _shared.settle(variants.groupBy("key").count().where("count > 1"), "buckets")
     # Buckets grow with the corpus: at no size are they broadcast.
@@ -136,5 +138,26 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     return fps.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def keep_one(documents: DataFrame, **options) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that with the smallest doc_id.
+
+    Near duplicates have a five-word similarity of 0.8 or more; the index is
+    that of near_texts, and every link is verified. Groups are closed: near
+    duplicates of near duplicates belong to them. Rows are told apart by their
+    place, so a repeated doc_id is as good as any, and columns may have any
+    name. A null doc_id is larger than any other, a null text counts as empty,
+    texts without words are near duplicates of each other, and an empty table
+    gives an empty result.
+    """
+    rows, _ = _shared.number_rows(documents.select(F.struct("*").alias("row")), "documents", "row_n")
+    texts = rows.select(F.col("row_n").alias("n"), F.col("row.text").alias("text"))
+    label = _shared.settle(graph.components(near_texts.links(texts, **options)), "components")
+    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id"), F.md5(_shared.text_or_empty("row.text")).alias("digest"), F.col("row_n").alias("n"))
+    ranked = _shared.settle(rows.select(F.col("row_n").alias("node"), order.alias("place")).join(label, "node"), "ranked")
+    least = ranked.groupBy("component").agg(F.min("place")["n"].alias("node"))
+    gone = ranked.select("node").join(least, "node", "left_anti")
+    return rows.join(gone.withColumnRenamed("node", "row_n"), "row_n", "left_anti").select("row.*")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(_shared.table(spark, sf_dir, "documents"))

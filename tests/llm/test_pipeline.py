@@ -1,9 +1,11 @@
 import random
 
 import corpus_pipeline
-from quillstone.llm import _shared
+from quillstone.llm import _shared, exact_dedup
 
-from .test_simhash import closure, reference_fingerprint
+from .test_near_texts import near as similar
+from .test_near_texts import reference_shingles
+from .test_simhash import closure
 from .test_substrings import brute
 
 
@@ -39,8 +41,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     for i in good:
         last[good[i].text] = max(i, last.get(good[i].text, i))
     assert set(exact) == set(last.values())
-    prints = {i: reference_fingerprint(r.text) for i, r in exact.items()}
-    label = closure(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    sets = {i: reference_shingles(r.text) for i, r in exact.items()}
+    label = closure(list(sets), lambda a, b: similar(sets[a], sets[b]))
     assert set(near) == {i for i in label if label[i] == i}
     want = {i: (kept, gone) for i, _, gone, kept in brute([(i, r.text) for i, r in near.items()], 13)}
     assert set(cut) == set(near)
@@ -49,3 +51,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert (r.lang, r.source, r.n_chars) == ("en", "s", near[i].n_chars)
     assert {r.doc_id for r in packed} == set(cut)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_released_tables_are_those_of_the_run(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id long, text string")
+    out = exact_dedup.duplicates(docs)
+    corpus_pipeline.exact_duplicates(spark, docs, "").count()
+    corpus_pipeline.pack_sequences(spark, docs, "")
+    assert out.count() == 9

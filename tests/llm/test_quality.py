@@ -73,3 +73,45 @@ def test_rare_class_outside_the_first_labels(spark):
     assert np.mean([out[i] for i, q, _ in labels if not q]) < 0.1
     assert {r.kept for r in quality.classify(frame, known.where("quality = 1")).collect()} == {True}
     assert quality.train(frame, known.where("quality = 1 OR doc_id = %d" % next(i for i, q, _ in labels if not q))) is not None
+
+
+def newton(dense, labels, penalty, weight):
+    """The same objective as fit()'s, by Newton's method on a dense matrix; the intercept is free."""
+    x = np.column_stack([dense, np.ones(len(dense))])
+    ridge = np.diag([penalty] * dense.shape[1] + [0.0])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        grad = x.T @ (weight * (p - labels)) + ridge @ w
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, grad)
+    return w
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_fit_against_newtons_method(even):
+    rng = np.random.default_rng(4)
+    dense = (rng.random((300, 12)) < 0.3).astype(float)
+    labels = (rng.random(300) < 1 / (1 + np.exp(-(dense @ rng.normal(size=12) - 0.5)))).astype(int)
+    share = np.where(labels == 1, labels.mean(), 1 - labels.mean())
+    model = quality.fit([np.flatnonzero(r) for r in dense], labels, 12, 0.7, even=even)
+    want = newton(dense, labels, 0.7, 0.5 / share if even else np.ones(300))
+    assert np.abs(model.weights - want[:-1]).max() < 5e-3 and abs(model.intercept - want[-1]) < 5e-3
+
+
+def test_calibration_and_word_choice_by_hand():
+    rng = np.random.default_rng(5)
+    logits = rng.normal(size=(500, 2)) * 2
+    labels = (rng.random(500) < 1 / (1 + np.exp(-(logits @ [1.5, -0.5] + 0.3)))).astype(int)
+    a, b = quality.calibrate(logits, labels)
+    x = np.column_stack([logits, np.ones(500)])
+    w = np.append(a, b)
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w)) - labels) + 1e-2 * w).max() < 1e-6  # the gradient is zero there
+    bad, good = np.zeros(50), np.zeros(50)
+    bad[:4], good[:4] = (30, 10, 20, 2), (2, 40, 10, 2)
+    def chi(b, g, nb=40, ng=80):
+        table = np.array([[b, g], [nb - b, ng - g]], float)
+        expected = table.sum(1)[:, None] * table.sum(0)[None] / table.sum()
+        return ((table - expected) ** 2 / expected).sum()
+    order = sorted((i for i in range(3)), key=lambda i: -chi(bad[i], good[i]))
+    chosen = quality.telling_words(bad, good, 40, 80).tolist()
+    assert chosen == [0, 1, 2] and 3 not in chosen and chi(bad[order[0]], good[order[0]]) >= chi(bad[order[-1]], good[order[-1]])
