@@ -11,8 +11,10 @@ broadcast, so references are narrowed down and dealt out first:
    anchor recurs in another document. Windows that share an anchor's
    occurrence form one short segment.
 2. Segments under recurring anchors are reduced to distinct ones with their
-   smallest doc_id and dealt out by anchor. An anchor of very many documents
-   is dealt out by the words of single windows instead, which is as exact.
+   smallest doc_id and dealt out by anchor. Those of an anchor that occurs
+   very often are cut into windows instead, and each window's smallest doc_id
+   says what recurs: as exact, and no task gets more than `crowd` segments of
+   one anchor.
 3. Each partition cuts its segments into reference shards of bounded size and
    streams a shard's documents in order of doc_id: matching statistics
    against the suffix automaton of all earlier documents give the spans that
@@ -22,6 +24,7 @@ broadcast, so references are narrowed down and dealt out first:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, compress, groupby
 
@@ -35,7 +38,7 @@ from quillstone.llm import _shared
 
 WINDOW = 13
 RUN_WORDS = 5
-CROWD = 8192  # documents of an anchor, beyond which single windows are dealt out
+CROWD = 1024  # occurrences of an anchor, beyond which single windows are dealt out
 SHARD_SEGMENTS = 4000
 
 
@@ -162,7 +165,7 @@ def anchors(documents: DataFrame, window: int) -> DataFrame:
 
 
 def _segments(documents: DataFrame, window: int) -> DataFrame:
-    """Segments under the anchors in `anchors`; those in `crowded` are cut into single windows."""
+    """Segments under the anchors in `anchors`, and whether theirs is in `crowded`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -172,25 +175,21 @@ def _segments(documents: DataFrame, window: int) -> DataFrame:
                 wanted, crowded = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("anchors", "crowded"))
                 chosen = w.valid & np.isin(w.anchor, wanted)
                 fresh = w.segment_starts(chosen)
-                if len(crowded):
-                    fresh |= chosen & np.isin(w.anchor, crowded)
                 first = np.flatnonzero(fresh)
                 if not len(first):
                     continue
                 # Windows of a segment: the chosen ones up to the next that starts another.
                 order = np.cumsum(fresh) - 1
                 count = np.bincount(order[chosen], minlength=len(first))
-                alone = np.isin(w.anchor[first], crowded)
                 words = w.words
                 content = [b" ".join(words[a : a + c + window - 1]) for a, c in zip(first.tolist(), count.tolist(), strict=True)]
                 digest = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in content), np.uint64, len(content)).view(np.int64)
-                key = np.where(alone, digest, w.anchor[first])
-                owner = w.owner[first]
+                key, owner = w.anchor[first], w.owner[first]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                columns = [pa.array(key), pa.array(digest), pa.array(content, pa.binary()), pa.array(ids[owner]), part.column("text_key").take(pa.array(owner)), pa.array((first - w.begins[owner]).astype(np.int32)), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "content", "doc_id", "text_key", "start", "windows"])
+                columns = [pa.array(key), pa.array(digest), pa.array(content, pa.binary()), pa.array(ids[owner]), part.column("text_key").take(pa.array(owner)), pa.array((first - w.begins[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(np.isin(key, crowded))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "content", "doc_id", "text_key", "start", "windows", "crowded"])
 
-    return documents.select("doc_id", "text_key", "text", "anchors", "crowded").mapInArrow(run, "key bigint, digest bigint, content binary, doc_id bigint, text_key bigint, start int, windows int")
+    return documents.select("doc_id", "text_key", "text", "anchors", "crowded").mapInArrow(run, "key bigint, digest bigint, content binary, doc_id bigint, text_key bigint, start int, windows int, crowded boolean")
 
 
 def match_shard(segments: list[tuple], window: int) -> list[int]:
@@ -210,7 +209,11 @@ def match_shard(segments: list[tuple], window: int) -> list[int]:
 
 
 def _matched(distinct: DataFrame, window: int) -> DataFrame:
-    """(key, digest, first, mask) of distinct segments, which come sorted by key within partitions."""
+    """(key, digest, first, mask, content) of distinct segments, which come sorted by key within partitions.
+
+    Content is null but where segments of a key share a digest.
+    """
+    names = ["key", "digest", "first", "mask", "content"]
 
     def unmatched(rows: list[tuple]) -> pa.RecordBatch:
         return batch_of(rows, [0] * len(rows))
@@ -220,8 +223,10 @@ def _matched(distinct: DataFrame, window: int) -> DataFrame:
         return batch_of(rows, match_shard([(r[2], r[3].split(b" ")) for r in rows], window))
 
     def batch_of(rows: list[tuple], masks: list[int]) -> pa.RecordBatch:
-        key, digest, first, _ = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, pa.int64()), pa.array(masks, pa.int64())], ["key", "digest", "first", "mask"])
+        key, digest, first, content = zip(*rows, strict=True)
+        times = Counter(zip(key, digest, strict=True))
+        shown = [c if times[k, d] > 1 else None for k, d, c in zip(key, digest, content, strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, digest, first, masks)), pa.array(shown, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("key", "digest", "first", "content")), strict=True) for b in batches)
@@ -242,7 +247,29 @@ def _matched(distinct: DataFrame, window: int) -> DataFrame:
         if alone:
             yield unmatched(alone)
 
-    return distinct.mapInArrow(run, "key bigint, digest bigint, first bigint, mask bigint")
+    return distinct.select("key", "digest", "first", "content").mapInArrow(run, "key bigint, digest bigint, first bigint, mask bigint, content binary")
+
+
+def _matched_by_window(distinct: DataFrame, window: int) -> DataFrame:
+    """(key, digest, first, mask, content) of distinct segments of crowded anchors; content as in _matched()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for segment, content, first in zip(*(batch.column(c).to_pylist() for c in ("segment", "content", "first")), strict=True):
+                words = content.split(b" ")
+                rows += [(segment, first, i, b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["segment", "first", "place", "words"])
+
+    numbered = _shared.settle(distinct.select("key", "digest", "content", "first", F.monotonically_increasing_id().alias("segment")), "crowd")
+    cut = _shared.settle(numbered.select("segment", "content", "first").mapInArrow(run, "segment bigint, first bigint, place int, words binary"), "windows")
+    least = _shared.settle(cut.groupBy("words").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("words", "low"), "least")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
+    masks = cut.join(least, "words").where("low < first").groupBy("segment").agg(F.bit_or(bit).alias("mask"))
+    alike = numbered.groupBy("key", "digest").agg(F.count("*").alias("times"))
+    rows = numbered.join(masks, "segment", "left").join(alike, ["key", "digest"])
+    return _shared.settle(rows.select("key", "digest", "first", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), F.when(F.col("times") > 1, F.col("content")).alias("content")), "crowd-matched")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -261,12 +288,27 @@ def repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> D
     shared = _shared.settle(shared.select("anchor", (F.col("n") > crowd).alias("crowded")), "shared")
     own = found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("crowded"), F.col("anchor"))).alias("crowded"))
     segments = _shared.settle(_segments(texts.join(own, "doc_id"), window), "segments")
-    distinct = segments.groupBy("key", "content").agg(F.min("doc_id").alias("first"), F.first("digest").alias("digest"))
-    matched = _shared.settle(_matched(distinct.repartition("key").sortWithinPartitions("key"), window), "matched")
+    _shared.discard(found)
+
+    def distinct(of: DataFrame) -> DataFrame:
+        return of.groupBy("key", "content").agg(F.min("doc_id").alias("first"), F.first("digest").alias("digest"))
+
+    plain, crowded = segments.where("NOT crowded"), segments.where("crowded")
+    matched = _shared.settle(_matched(distinct(plain).repartition("key").sortWithinPartitions("key"), window), "matched")
+    if not crowded.isEmpty():
+        matched = matched.unionByName(_matched_by_window(distinct(crowded), window))
     everywhere = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("windows")) - 1
     mask = F.when(F.col("doc_id") == F.col("first"), F.col("mask")).otherwise(everywhere)
-    spans = segments.select("key", "digest", "doc_id", "text_key", "start", "windows").join(matched, ["key", "digest"]).select("doc_id", "text_key", F.struct("start", mask.alias("mask")).alias("span"))
-    return spans.where("span.mask <> 0").groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+
+    def spans(known: DataFrame, *on: str) -> DataFrame:
+        rows = segments.select(*on, "doc_id", "text_key", "start", "windows").join(known.select(*on, "first", "mask"), list(on))
+        return rows.select("doc_id", "text_key", F.struct("start", mask.alias("mask")).alias("span")).where("span.mask <> 0")
+
+    out = spans(matched.where("content IS NULL"), "key", "digest")
+    clash = matched.where("content IS NOT NULL")
+    if not clash.isEmpty():  # different segments of a key with the same digest are told apart by their words
+        out = out.unionByName(spans(clash, "key", "content"))
+    return out.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, only_changed: bool = False) -> DataFrame:
@@ -311,13 +353,16 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROW
 def without_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
     """The documents with all their columns; where words go, the text is what stays, joined by one space.
 
-    Texts that lose nothing stay as they are, null included. A document that
-    loses all its words stays with an empty text.
+    Texts that lose nothing stay as they are, null included, and so do rows
+    without a doc_id. A document that loses all its words stays with an empty
+    text. Columns may have any name; none but the text changes, so a column
+    of lengths still tells those of before. An empty table gives an empty
+    result.
     """
-    changed = remove_repeats(documents, window, crowd, only_changed=True).select("doc_id", "text_key", F.col("kept").alias("_kept"))
-    keyed = documents.withColumn("_key", F.xxhash64(_shared.text_or_empty()))
-    joined = keyed.join(changed.dropDuplicates(["doc_id", "text_key"]), (keyed["doc_id"] == changed["doc_id"]) & (F.col("_key") == F.col("text_key")), "left")
-    return joined.select(*(F.coalesce("_kept", keyed["text"]).alias("text") if c == "text" else keyed[c] for c in documents.columns))
+    changed = remove_repeats(documents, window, crowd, only_changed=True).dropDuplicates(["doc_id", "text_key"])
+    keyed = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_shared.text_or_empty()).alias("own_key"))
+    joined = keyed.join(changed, (F.col("own_id") == F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
+    return joined.select(*(F.coalesce("kept", "row.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
