@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -33,19 +34,24 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _STRIP, "")
 
 
+def constant_map(values: dict[str, str]) -> Column:
+    """A map as one literal, which the optimizer folds: quick to build, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
 @lru_cache(maxsize=1)
-def _longer():
-    """The characters that become several, as a character class and as a map."""
+def _longer() -> tuple[str, dict[str, str]]:
+    """The characters that become several, as a character class and with what they become."""
     longer = _ascii_of_characters()[2]
-    return "[" + "".join(longer) + "]", [x for pair in longer.items() for x in pair]
+    return "[" + "".join(longer) + "]", longer
 
 
 def fold(text: Column) -> Column:
     """Lower case, compatibility decomposition, ASCII only: what is left of other characters is dropped."""
     source, target, _ = _ascii_of_characters()
-    any_longer, pairs = _longer()
+    any_longer, longer = _longer()
     lowered = F.lower(text)
-    table = F.create_map(*map(F.lit, pairs))  # one constant, looked up only in texts that hold such a character
+    table = constant_map(longer)  # looked up only in texts that hold such a character
     spelled = F.array_join(F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     single = F.when(lowered.rlike(any_longer), spelled).otherwise(lowered)
     plain = F.regexp_replace(F.translate(single, source, target), r"[^\x00-\x7F]", "")
@@ -78,7 +84,7 @@ def stem(token: Column) -> Column:
 
 
 def _canonical(token: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in P.CANONICAL_TOKENS.items() for x in pair))
+    table = constant_map(P.CANONICAL_TOKENS)
     return F.coalesce(F.try_element_at(table, token), token)
 
 

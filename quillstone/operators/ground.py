@@ -41,6 +41,7 @@ def with_grounding_error(answers: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     chunk = F.struct("chunk_id", "document_id", "document_name", F.col("page").cast("int").alias("page"), "text")
     gathered = ranked.groupBy("question_id").agg(F.collect_list(chunk).alias("_chunks"))
+    answers = answers.drop("grounding_error")
     rows = answers.join(gathered, "question_id", "left").withColumn("_chunks", F.coalesce("_chunks", F.array().cast(gathered.schema["_chunks"].dataType)))
     c = F.col
     excerpt, reason = c("supporting_excerpt"), c("ambiguity_reason")
