@@ -92,9 +92,9 @@ def _poly(codes: list[Column]) -> Column:
     return (value % BUCKETS).cast("int")
 
 
-def train(spark: SparkSession) -> tuple[np.ndarray, float]:
-    """Weights and intercept from the labelled table."""
-    table = spark.createDataFrame([(i, url, float(label)) for i, (url, label) in enumerate(labelled_urls())], "id int, url string, label double").coalesce(1)
+def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept from the labelled table, or another of that kind: a few hundred rows."""
+    table = spark.createDataFrame([(i, url, float(label)) for i, (url, label) in enumerate(labelled or labelled_urls())], "id int, url string, label double").coalesce(1)
     host, path = split_url(F.col("url"))
     counts = with_buckets(table.select("id", "label", host.alias("host"), path.alias("path"))).select("id", "label", F.explode("buckets").alias("bucket")).groupBy("id", "label", "bucket").count()
     entries = counts.groupBy("id", "label").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("count").cast("double")))).alias("m"))
