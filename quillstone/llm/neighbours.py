@@ -33,11 +33,12 @@ QUERY_EVERY = 20
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 components (held as float32, in which their products are exact), scales, and norms of what is lost."""
+    """int8 components (held as floats in which sums of their products are exact), scales, and norms of what is lost."""
     scale = np.maximum(np.abs(x).max(1) / 127, np.finfo(float).tiny)
     whole = np.rint(x / scale[:, None])
     lost = np.sqrt(((x - whole * scale[:, None]) ** 2).sum(1))
-    return whole.astype(np.float32), scale, lost
+    wide = 127 * 127 * x.shape[1] >= 1 << 24  # float32 has whole numbers up to here
+    return whole if wide else whole.astype(np.float32), scale, lost
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -85,17 +86,11 @@ def nearest_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: not null, not zero, all components finite.
-
-    Of vectors of several lengths only those of the most frequent length (the
-    longest of these) take part.
-    """
+    """(vec_id, v) of the vectors that take part: not null, not zero, all components finite."""
     wide = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
-    finite = wide.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(
+    return wide.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    )
-    lengths = finite.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return finite.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
+    ).withColumn("length", F.size("v"))
 
 
 def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -105,7 +100,9 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, block
     all rows but the query's own key. Rows that repeat a key with another
     vector are candidates in their own right. Fewer than k candidates are
     all returned. Vectors that are null, zero or hold null or non-finite
-    components take no part; extra columns don't pass.
+    components take no part; vectors of another length have no inner product
+    with a query and aren't its candidates. Extra columns don't pass; an empty
+    table gives an empty result.
     """
     rows = _shared.settle(usable(vectors, key, column), "vectors")
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
@@ -113,8 +110,8 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, block
     query_blocks = max(1, -(-counts["q"] // block_queries))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     hashed = F.xxhash64("vec_id")
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.pmod(hashed, F.lit(query_blocks)).cast("int").alias("qb"), spread(tiles).alias("cb"))
-    candidates = rows.select("vec_id", "v", F.pmod(hashed, F.lit(tiles)).cast("int").alias("cb"), spread(query_blocks).alias("qb"))
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", "length", F.pmod(hashed, F.lit(query_blocks)).cast("int").alias("qb"), spread(tiles).alias("cb"))
+    candidates = rows.select("vec_id", "v", "length", F.pmod(hashed, F.lit(tiles)).cast("int").alias("cb"), spread(query_blocks).alias("qb"))
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -123,7 +120,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, block
             found = list(nearest_of_block(left["vec_id"].to_numpy(), np.stack(left["v"]), right["vec_id"].to_numpy(), np.stack(right["v"]), k))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    best = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(tile, "query_id long, vec_id long, score double")
+    best = queries.groupBy("length", "qb", "cb").cogroup(candidates.groupBy("length", "qb", "cb")).applyInPandas(tile, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
