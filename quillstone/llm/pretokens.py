@@ -12,9 +12,10 @@ a composition is one table lookup.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import regex
+import tiktoken
 
 # Automaton states: what the current pre-token is.
 FRESH, LETTERS, NUMBERS, OTHERS, SPACES, GLUE, ONE_LEFT, TWO_LEFT = range(8)
@@ -75,14 +76,17 @@ def _tables():
 
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or SPACE of each code point."""
+    """LETTER, NUMBER, OTHER or SPACE of each code point, by the Unicode tables of the library whose ids are wanted.
+
+    Libraries differ in the Unicode version they know, so tiktoken itself is
+    asked, with a pattern that matches one class and a vocabulary of bytes.
+    test_bpe.py holds the classes against both libraries, for every code point.
+    """
     kinds = np.full(0x110000, OTHER, np.uint8)
-    low = "".join(map(chr, range(0xD800)))
-    high = "".join(map(chr, range(0xE000, 0x110000)))
-    for text, base in ((low, 0), (high, 0xE000)):
-        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
-            for m in regex.finditer(pattern, text):
-                kinds[base + m.start() : base + m.end()] = kind
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        one = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        kinds[np.frombuffer(bytes(one.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     return kinds
 
 

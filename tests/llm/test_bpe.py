@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
+from tokenizers import Regex, pre_tokenizers
 
 from quillstone.llm import bpe, pretokens
 
@@ -63,3 +64,22 @@ def test_query_digests(spark, sf_dir):
         ids = reference.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_every_code_point_as_the_libraries_have_it():
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    texts = ["".join(f"{c}'s {c}{c}'LL 1{c}" for c in map(chr, points[i : i + 2000])) for i in range(0, len(points), 2000)]
+    ids, _, _ = bpe.encode_texts(texts, bpe.rank_cache(PATH))
+    reference = library()
+    assert all(np.frombuffer(x, "<u4").tolist() == reference.encode_ordinary(t) for x, t in zip(ids, texts, strict=True))
+    every, kinds = "".join(map(chr, points)), pretokens._kinds()
+    for pattern, kind in ((r"\p{L}+", pretokens.LETTER), (r"\p{N}+", pretokens.NUMBER), (r"\s+", pretokens.SPACE)):
+        runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
+        assert {ord(c) for piece, _ in runs for c in piece} == set(np.flatnonzero(kinds == kind).tolist())
+
+
+def test_pieces_of_equal_beginnings_and_lengths():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 22))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(400)] + ["é" * 7, "é" * 8, "é" * 9, "\x00", "\x00\x00"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(texts, bpe.rank_cache(PATH))[0]] == [library().encode_ordinary(t) for t in texts]
