@@ -47,13 +47,16 @@ class Cache(dict):
 
 
 def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
-    """Ids of one pre-token: the pair with the lowest rank is merged, the leftmost first, until none can be."""
+    """Ids of one pre-token: itself if it has a rank, else what merging leaves."""
     whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
+    return [whole] if whole is not None else [ranks[piece[a:b]] for a, b in pairwise(cuts(ranks, piece))]
+
+
+def cuts(ranks: dict, piece: bytes | str) -> list[int]:
+    """Where the parts of a pre-token begin and end: the pair with the lowest rank is merged, the leftmost first, until none can be."""
     if len(piece) > 128:
-        return _merge_long(ranks, piece)
-    cuts = list(range(len(piece) + 1))
+        return _cuts_long(ranks, piece)
+    places = list(range(len(piece) + 1))
     get = ranks.get
     pairs = [get(piece[i : i + 2], _NEVER) for i in range(len(piece) - 1)]
     while pairs:
@@ -61,15 +64,15 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
         if lowest == _NEVER:
             break
         i = pairs.index(lowest)
-        del cuts[i + 1], pairs[i]
+        del places[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], _NEVER)
+            pairs[i] = get(piece[places[i] : places[i + 2]], _NEVER)
         if i:
-            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], _NEVER)
-    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+            pairs[i - 1] = get(piece[places[i - 1] : places[i + 1]], _NEVER)
+    return places
 
 
-def _merge_long(ranks: dict[bytes, int], piece: bytes) -> list[int]:
+def _cuts_long(ranks: dict, piece: bytes | str) -> list[int]:
     """The same for long pieces, by a heap over linked parts: n log n steps."""
     n = len(piece)
     end = list(range(1, n + 1))
@@ -95,7 +98,7 @@ def _merge_long(ranks: dict[bytes, int], piece: bytes) -> list[int]:
         offer(i)
         if left[i] >= 0:
             offer(left[i])
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+    return [*(i for i in range(n) if alive[i]), n]
 
 
 @lru_cache(maxsize=4)
@@ -158,14 +161,10 @@ def _same_pieces(joined: str, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return number, np.concatenate([*shown, apart])
 
 
-def encode_flat(texts: list[str], cache: Cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts, how many come before each text and in all, where pre-tokens start, and the first one's number for each text.
-
-    Each different pre-token is looked up once.
-    """
-    joined, places, first = pretokens.boundaries(texts)
+def encode_pieces(joined: str, places: np.ndarray, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pre-tokens that start at `places` of a text, and how many come before each and in all. Each different pre-token is looked up once."""
     if not len(places):
-        return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64), places, first
+        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
     number, shown = _same_pieces(joined, places)
     stops = np.append(places[1:], len(joined))
     ids = [cache[joined[a:b]] for a, b in zip(places[shown].tolist(), stops[shown].tolist(), strict=True)]
@@ -175,7 +174,14 @@ def encode_flat(texts: list[str], cache: Cache) -> tuple[np.ndarray, np.ndarray,
     sizes = size[number]
     before = np.append(0, np.cumsum(sizes))
     at = np.repeat(begin[number] - before[:-1], sizes) + np.arange(before[-1])
-    return known[at], before[first], places, first
+    return known[at], before
+
+
+def encode_flat(texts: list[str], cache: Cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts, how many come before each text and in all, where pre-tokens start, and the first one's number for each text."""
+    joined, places, first = pretokens.boundaries(texts)
+    flat, before = encode_pieces(joined, places, cache)
+    return flat, before[first], places, first
 
 
 def encode_texts(texts: list[str], cache: Cache) -> tuple[list[bytes], np.ndarray, np.ndarray]:
