@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillstone.llm import bpe, exact_dedup, neighbours, packing, pieces, quality, simhash, substrings, token_shards, url_filter, warc
+from quillstone.llm import align, bpe, exact_dedup, neighbours, packing, pieces, quality, simhash, substrings, token_shards, url_filter, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_simhash": simhash.op10_simhash,
+        "op11_cross_tokenizer": align.op11_cross_tokenizer,
+        "op12_whitening": whitening.op12_whitening,
         "op13_sentencepiece": pieces.op13_sentencepiece,
         "pipeline": corpus_pipeline.run,
     }

@@ -37,6 +37,16 @@ SMALL_SHARE = 3  # lengths up to capacity / SMALL_SHARE are small
 # --- tokens ---------------------------------------------------------------
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary's entries."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    plain = [b for b in range(256) if chr(b).isprintable() and b != 0x20 and b != 0xAD]
+    table = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    assert set(table.values()) == set(ByteLevel.alphabet())
+    return table
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str):
     """Ids of one pre-token by the tokenizers library's model; its own byte alphabet is applied here.
@@ -45,12 +55,8 @@ def library_encoder(path: str):
     encoding the pieces of pretokens.boundaries() gives the ids of the text.
     """
     from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
 
-    model = Tokenizer.from_file(path).model
-    plain = [b for b in range(256) if chr(b).isprintable() and b != 0x20 and b != 0xAD]
-    table = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-    assert set(table.values()) == set(ByteLevel.alphabet())
+    model, table = Tokenizer.from_file(path).model, byte_alphabet()
 
     def ids(piece: str) -> list[int]:
         return [t.id for t in model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))]
