@@ -128,8 +128,14 @@ class Model:
         self.opened = frozenset(i for piece, i in self.ids.items() if piece.startswith(SPACE))
         self.special = np.ones(self.size, bool)
         self.special[list(self.ids.values())] = False
-        # A text may be cut before a space if no piece has one after something else.
-        self.cut_at_space = not any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
+        # Characters of the vocabulary by number, others are 0, and which of them any piece has side by side.
+        chars = sorted({c for piece in self.ids for c in piece})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.beside = np.zeros((len(chars) + 1) ** 2, bool)
+        self.rows = len(chars) + 1
+        pairs = {a + b for piece in self.ids for a, b in pairwise(piece)}
+        self.beside[[int(self.number[ord(p[0])]) * self.rows + int(self.number[ord(p[1])]) for p in pairs]] = True
 
     def encode_part(self, part: str) -> list[int]:
         """Ids of a part of normalised text that is merged by itself."""
@@ -208,12 +214,12 @@ class Model:
         return "".join(t for t, _ in done), first, np.concatenate([b for _, b in done]) if done else np.zeros(0, np.int64)
 
     def parts(self, joined: str, first: np.ndarray) -> np.ndarray:
-        """Where the parts begin that are merged by themselves."""
+        """Where the parts begin that are merged by themselves: no piece has the two characters at a cut side by side, so none reaches across."""
         opens = np.zeros(len(joined) + 1, bool)
         opens[first] = True
-        if self.cut_at_space and joined:
-            blank = _points(joined) == ord(SPACE)
-            opens[1:-1] |= blank[1:] & ~blank[:-1]
+        if joined:
+            number = self.number[_points(joined)]
+            opens[1:-1] |= ~self.beside[number[:-1] * self.rows + number[1:]]
         return np.flatnonzero(opens[:-1])
 
     def encode_flat(self, texts: list[str], cache: bpe.Cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
