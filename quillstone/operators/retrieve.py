@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
-from quillstone.functions import vectors as V
-from quillstone.operators import trust
+from quillstone.operators import scoring, trust
+from quillstone.sources.tables import settle
 
 METHODS = ("lexical", "dense", "hybrid", "hybrid_rerank")
 MAX_QUESTIONS = 10_000
+MAX_CHARS = 4_000_000  # of the words of all questions
+BLOCK_QUESTIONS = 500  # scored in one pass
 
 
 def question_features(questions: DataFrame) -> DataFrame:
@@ -34,153 +35,131 @@ def question_intent(question: Column) -> Column:
     return out
 
 
-def document_tokens(chunks: DataFrame) -> DataFrame:
-    """(document_id, token) of the names, sections and texts of a document's chunks."""
-    words = T.lexical_tokens(F.concat_ws(" ", "document_name", F.coalesce("section", F.lit("")), "text"))
-    return chunks.select("document_id", F.explode(words).alias("token")).distinct()
+def chunk_features(chunks: DataFrame, vocabulary: list[str], scopes: list[str]) -> DataFrame:
+    """What of the questions' words each chunk holds: chunk_id, document_id, arrays said (its text), about (names, sections and texts of its document), name_tokens (scopes in the document's name), identity (what names the document: its file name and lines with an organisation's label or legal form); and vectors, where there are any."""
+    asked = lambda tokens, words: F.filter(tokens, lambda t: t.isin(words) if words else F.lit(False))
+    lines = F.filter(F.split("text", r"\r\n|[\n\r]"), lambda x: T.strip(x).rlike(f"(?iu){P.IDENTITY_LINE}"))
+    naming = [t for t in vocabulary if len(t) >= 4 and t not in P.GENERIC_TOKENS]
+    vectors = [c for c in ("embedding", "embedding_model_id") if c in chunks.columns]
+    named = T.lexical_tokens(F.col("document_name"))
+    words = chunks.select(
+        "chunk_id", "document_id", *vectors, asked(T.lexical_tokens(F.col("text")), vocabulary).alias("said"), asked(named, [*vocabulary, *scopes]).alias("name_tokens"),
+        asked(T.lexical_tokens(F.coalesce("section", F.lit(""))), vocabulary).alias("section_tokens"), asked(T.lexical_tokens(F.array_join(lines, " ")), naming).alias("lines"),
+    )
+    own = F.array_union(F.array_union("said", "section_tokens"), asked(F.col("name_tokens"), vocabulary))
+    document = Window.partitionBy("document_id")  # one document's chunks, and words of the questions alone
+    about = F.array_distinct(F.flatten(F.collect_list(own).over(document)))
+    return words.select("chunk_id", "document_id", *vectors, "said", about.alias("about"), "name_tokens", F.array_union(asked(F.col("name_tokens"), naming), F.col("lines")).alias("identity"))
+
+
+def _asked(questions: DataFrame) -> list[Row]:
+    """The questions with tokens, fields, scopes and vectors, in order; a stated set of a checked size."""
+    features = question_features(questions).drop("question", "intent")
+    rows = features.limit(MAX_QUESTIONS + 1).collect()
+    if len(rows) > MAX_QUESTIONS:
+        raise ValueError(f"more than {MAX_QUESTIONS} questions: ask in blocks")
+    if sum(len(t) for r in rows for t in r["q_tokens"]) > MAX_CHARS:
+        raise ValueError(f"questions of more than {MAX_CHARS} letters: ask in blocks")
+    return sorted(rows, key=lambda r: r["question_id"])
 
 
-def identity_tokens(chunks: DataFrame) -> DataFrame:
-    """(document_id, token) of what names a document: its file name and lines with an organisation's label or legal form."""
-    lines = F.filter(F.split("text", r"\r\n|[\n\r]"), lambda x: T.strip(x).rlike(f"(?iu){P.IDENTITY_LINE}"))
-    named = chunks.select("document_id", F.explode(T.lexical_tokens(F.concat_ws(" ", "document_name", F.array_join(lines, " ")))).alias("token"))
-    return named.distinct()
+def _naming(features: DataFrame) -> dict[str, object]:
+    """Words of the questions that name one document alone, and which: at most as many as there are words."""
+    held = features.select("document_id", F.explode("identity").alias("token"))
+    rare = held.groupBy("token").agg(F.min("document_id").alias("least"), F.max("document_id").alias("most")).where("least = most")
+    return {r["token"]: r["least"] for r in rare.collect()}
 
 
-def _by(rows: DataFrame, key: str, *values: str) -> DataFrame:
-    """For each key a map from question_id to its values: as many entries as there are questions, at most."""
-    entry = F.struct("question_id", F.struct(*values))
-    return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias(f"by_{key}"))
+def _block(rows: list[Row], named: dict[str, object]) -> scoring.Asked:
+    get = lambda name: [r[name] if name in r else None for r in rows]
+    scopes = get("document_ids")
+    return scoring.Asked(
+        get("question_id"), get("q_tokens"), [set(r["q_fields"]) for r in rows], get("q_scope"), get("model_id"), [list(v) if v else None for v in get("embedding")],
+        [None if x is None else set(x) for x in scopes], {t: d for t, d in named.items() if any(t in r["q_tokens"] for r in rows)},
+    )
 
 
-def _products(questions: DataFrame):
-    """(question_id, q_place) and a Column function: a vector's inner products with all questions' vectors, in that order.
+def candidates(features: DataFrame, asked: scoring.Asked, lexical: int, dense: int, with_entities: bool = False) -> DataFrame:
+    """The best chunks of each question by either score, and all of the documents it names: q, chunk_id, scores as whole numbers of 1e-8.
 
-    One matrix product a batch. Questions are at most MAX_QUESTIONS, so their
-    vectors fit the driver; those without a vector, or of another length than
-    the chunk's, have null.
+    Every task keeps its best; only those leave it.
     """
-    rows = questions.select("question_id", "embedding").orderBy("question_id").collect()
-    order = questions.sparkSession.createDataFrame([(r["question_id"], i) for i, r in enumerate(rows)], f"question_id {questions.schema['question_id'].dataType.simpleString()}, q_place int")
-    by_length: dict[int, tuple[list[int], np.ndarray]] = {}
-    for n in {len(r["embedding"]) for r in rows if r["embedding"]}:
-        at = [i for i, r in enumerate(rows) if r["embedding"] and len(r["embedding"]) == n]
-        by_length[n] = at, np.array([rows[i]["embedding"] for i in at], float)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def products(vectors: pd.Series) -> pd.Series:
-        out: list = [None] * len(vectors)
-        lengths = [0 if v is None else len(v) for v in vectors]
-        for n, (places, asked) in by_length.items():
-            at = [i for i, x in enumerate(lengths) if x == n]
-            if at:
-                found = np.full((len(at), len(rows)), np.nan)
-                found[:, places] = np.stack([vectors.iloc[i] for i in at]).astype(float) @ asked.T
-                for i, own in zip(at, found, strict=True):
-                    out[i] = own
-        return pd.Series(out, index=vectors.index, dtype=object)
-
-    return order, products
-
-
-def scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Lexical, entity and dense scores of every question against every chunk in its scope: question_id, chunk_id and numbers alone.
+    found = features.mapInArrow(lambda batches: scoring.best(asked, batches, lexical, dense, with_entities), scoring.CANDIDATE_DDL).dropDuplicates(["q", "chunk_id"])
+    place = lambda *order: F.row_number().over(Window.partitionBy("q").orderBy(*order))
+    by_dense = place(F.desc("compatible"), F.desc("dense"), "chunk_id")
+    ranked = found.withColumns({"_lexical": place(F.desc("lexical"), "chunk_id"), "_dense": F.when(F.col("compatible"), by_dense)})
+    return ranked.where((F.col("_lexical") <= lexical) | (F.col("_dense") <= dense) | (F.col("entity") & F.lit(with_entities))).drop("_lexical", "_dense")
 
-    Questions, with `embedding` and `model_id` for dense scores and
-    `document_ids` for a scope if they have one, are a stated set of at most
-    MAX_QUESTIONS; they are broadcast, and chunks are read once. What a
-    question shares with a chunk or a document comes from equality joins on
-    the token, and stands beside the chunk before it meets the questions, so
-    that pairs need no exchange.
-    """
-    asked = question_features(questions)
-    if asked.limit(MAX_QUESTIONS + 1).count() > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions: ask in blocks")
-    tokens = F.broadcast(asked.select("question_id", F.explode("q_tokens").alias("token"), "q_fields").select("question_id", "token", F.array_contains("q_fields", F.col("token")).cast("int").alias("is_field")))
-    generic = F.col("token").isin(*P.GENERIC_TOKENS)
-    named = identity_tokens(chunks).join(tokens, "token").where(~generic & (F.length("token") >= 4))
-    rare = named.groupBy("question_id", "token").agg(F.count("*").alias("documents"), F.min("document_id").alias("document_id")).where("documents = 1")
-    entity = rare.select("question_id", "document_id").distinct().withColumn("entity", F.lit(1.0))
-    covered = document_tokens(chunks).join(tokens, "token").groupBy("question_id", "document_id").agg(F.count("*").alias("document_hits"))
-    about = covered.join(entity, ["question_id", "document_id"], "full_outer").na.fill({"document_hits": 0, "entity": 0.0})
-    said = chunks.select("chunk_id", F.explode(T.lexical_tokens(F.col("text"))).alias("token")).join(tokens, "token")
-    local = said.groupBy("question_id", "chunk_id").agg(F.count("*").alias("local_hits"), F.sum("is_field").alias("field_hits"))
-
-    # A few numbers and, where there are any, vectors of each question.
-    distinctive = rare.select("question_id").distinct().withColumn("distinctive", F.lit(True))
-    asked = asked.join(distinctive, "question_id", "left").withColumns({"q_size": F.greatest(F.size("q_tokens"), F.lit(1)), "n_fields": F.size("q_fields")})
-    vectors = "embedding" in questions.columns
-    columns = ["question_id", "q_size", "n_fields", "q_scope", "distinctive"] + ["document_ids"] * ("document_ids" in questions.columns)
-    asked = asked.select(*columns, *(["model_id"] if vectors else []))
-    if vectors:
-        order, products = _products(questions)
-        asked = asked.join(F.broadcast(order), "question_id")
-    scope = F.array_contains("name_tokens", F.col("q_scope")).cast("double")
-    thin = chunks.select("chunk_id", "document_id", T.lexical_tokens(F.col("document_name")).alias("name_tokens"), *([products("embedding").alias("products"), "embedding_model_id"] if vectors else []))
-    thin = thin.join(_by(about, "document_id", "document_hits", "entity"), "document_id", "left").join(_by(local, "chunk_id", "local_hits", "field_hits"), "chunk_id", "left")
-    allowed = F.lit(True)
-    if "document_ids" in columns:
-        allowed = F.col("document_ids").isNull() | F.array_contains("document_ids", F.col("document_id"))
-    pairs = thin.join(F.broadcast(asked), allowed)
-
-    near, around = F.try_element_at("by_chunk_id", F.col("question_id")), F.try_element_at("by_document_id", F.col("question_id"))
-    pairs = pairs.withColumns({"near": near, "around": around})
-    number = lambda of, name: F.coalesce(F.col(of)[name], F.lit(0))
-    local_share, document = number("near", "local_hits") / F.col("q_size"), number("around", "document_hits") / F.col("q_size")
-    field, entity_score = number("near", "field_hits") / F.col("n_fields"), F.coalesce(F.col("around")["entity"], F.lit(0.0))
-    has_fields = F.col("n_fields") > 0
-    lexical = (
-        F.when(has_fields & F.col("distinctive"), 0.40 * field + 0.15 * local_share + 0.10 * document + 0.35 * entity_score)
-        .when(has_fields & F.col("q_scope").isNotNull(), 0.50 * field + 0.15 * local_share + 0.10 * document + 0.25 * scope)
-        .when(has_fields, 0.65 * field + 0.25 * local_share + 0.10 * document)
-        .when(F.col("distinctive"), 0.55 * local_share + 0.10 * document + 0.35 * entity_score)
-        .otherwise(0.8 * local_share + 0.2 * document)
-    )
-    dense, compatible = F.lit(0.0), F.lit(False)
-    if vectors:
-        compatible = F.coalesce(F.col("embedding_model_id") == F.col("model_id"), F.lit(False))
-        dense = F.when(compatible, V.clamp(F.coalesce(F.get("products", F.col("q_place")), F.lit(0.0)), -1.0, 1.0)).otherwise(0.0)
-    # Scores are rounded before ranking, so that equal ones tie on every run.
-    return pairs.select("question_id", "chunk_id", F.round(lexical, 8).alias("lexical_score"), F.round(dense, 8).alias("dense_score"), entity_score.alias("entity_score"), compatible.alias("compatible"))
+
+def with_ranks(found: DataFrame, features: DataFrame, asked: scoring.Asked) -> DataFrame:
+    """Add lexical_rank and dense_rank among all chunks, by counting those that stand before a candidate; null dense_rank where vectors can't be compared."""
+    rows = [tuple(r) for r in found.select("q", "chunk_id", "lexical", "dense", "compatible").collect()]
+    places = scoring.Places(rows, len(asked.question_ids))
+    counts = features.mapInArrow(lambda batches: places.counts(asked, batches), scoring.COUNT_DDL)
+    own = found.sparkSession.createDataFrame([(q, which, place, 0, chunk) for (which, q, chunk), place in places.places.items()], f"{scoring.COUNT_DDL}, chunk_id string")
+    before = counts.groupBy("q", "which", "place").agg(F.sum("n").alias("n")).unionByName(own, allowMissingColumns=True)
+    so_far = Window.partitionBy("q", "which").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    ranks = before.withColumn("rank", F.sum("n").over(so_far)).where("chunk_id IS NOT NULL")
+    return found.join(ranks.groupBy("q", "chunk_id").agg(F.max(F.when(F.col("which") == 0, F.col("rank"))).alias("lexical_rank"), F.max(F.when(F.col("which") == 1, F.col("rank"))).alias("dense_rank")), ["q", "chunk_id"])
 
 
 def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit: int = P.RETRIEVAL_LIMIT) -> DataFrame:
     """The best chunks of each question: question_id, chunk_id, rank, score, what it is made of, and the chunk's own columns.
 
-    Only identifiers and numbers are ranked; texts join the few that are left.
+    Questions, with `embedding` and `model_id` for dense scores and
+    `document_ids` for a scope if they have one, are a stated set of at most
+    MAX_QUESTIONS, asked in blocks; chunk_id is a key. No pair of a question and
+    a chunk leaves the task that scores it unless it may be in the result.
+
+    Fused methods need a chunk's ranks among all chunks. A chunk behind the
+    place 60 + 2k by both scores has a fused score below 1 / (2 (60 + k)),
+    which each of the k best by words surpasses; so the first 60 + 2k by
+    either score, and the chunks of documents that a question names, hold the
+    k best. Their exact ranks come from a second pass, which counts.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    scored = scores(questions, chunks)
-    by = lambda *order: Window.partitionBy("question_id").orderBy(*order)
-    if method == "lexical":
-        scored = scored.withColumn("score", F.col("lexical_score"))
-        order = [F.desc("score"), "chunk_id"]
-    elif method == "dense":
-        scored = scored.where("compatible").withColumn("score", F.col("dense_score"))
-        order = [F.desc("score"), "chunk_id"]
-    else:
-        ranked = scored.withColumn("lexical_rank", F.row_number().over(by(F.desc("lexical_score"), "chunk_id")))
-        dense_rank = F.row_number().over(by(F.desc("compatible"), F.desc("dense_score"), "chunk_id"))
-        ranked = ranked.withColumn("dense_rank", F.when(F.col("compatible"), dense_rank))
-        one, two = 1 / (P.RRF_K + F.col("lexical_rank")), 1 / (P.RRF_K + F.col("dense_rank"))
-        fused = F.when(F.col("dense_rank").isNull(), one).otherwise((one + two) / 2) + P.ENTITY_BOOST * F.col("entity_score")
-        scored = ranked.withColumn("score", F.round(fused, 8))
-        order = [F.desc("score"), F.desc("lexical_score"), "chunk_id"]
+    rows = _asked(questions)
+    vocabulary = sorted({t for r in rows for t in r["q_tokens"]})
+    features = settle(chunk_features(chunks, vocabulary, sorted({r["q_scope"] for r in rows} - {None})), "features")
+    named = _naming(features)
     again = method == "hybrid_rerank"
-    best = _top(scored, order, max(4 * limit, 20) if again else limit)
-    best = best.select("question_id", "chunk_id", "rank", "score", "lexical_score", "dense_score", "entity_score")
-    features = question_features(questions).select("question_id", "intent", "q_tokens")
-    out = best.join(F.broadcast(features), "question_id").join(chunks.select("chunk_id", "document_id", "document_name", "page", "section", "text"), "chunk_id")
+    most = max(4 * limit, 20) if again else limit
+    kind = questions.schema["question_id"].dataType.simpleString()
+    parts = []
+    for at in range(0, max(1, len(rows)), BLOCK_QUESTIONS):
+        own = rows[at : at + BLOCK_QUESTIONS]
+        ids = questions.sparkSession.createDataFrame([(q, r["question_id"]) for q, r in enumerate(own)], f"q int, question_id {kind}")
+        parts.append(_best_of_block(_block(own, named), features, method, most).join(F.broadcast(ids), "q").drop("q"))
+    best = reduce(DataFrame.unionByName, parts)
+    known = question_features(questions).select("question_id", "intent", "q_tokens")
+    texts = chunks.select("chunk_id", "document_id", "document_name", "page", "section", "text")
+    out = best.join(F.broadcast(known), "question_id").join(texts, "chunk_id")
     if not again:
         return out.withColumn("rerank_score", F.lit(None).cast("double"))
-    return _top(with_rerank_score(out.drop("rank")), [F.desc("rerank_score"), F.desc("score"), "chunk_id"], limit)
+    return _top(with_rerank_score(out.drop("rank")), "question_id", [F.desc("rerank_score"), F.desc("score"), "chunk_id"], limit)
+
+
+def _best_of_block(asked: scoring.Asked, features: DataFrame, method: str, most: int) -> DataFrame:
+    lexical, dense = (F.col(c) / scoring.UNIT for c in ("lexical", "dense"))
+    if method in ("lexical", "dense"):
+        found = candidates(features, asked, most * (method == "lexical"), most * (method == "dense"))
+        scored = found.withColumn("score", lexical if method == "lexical" else dense)
+        order = [F.desc("score"), "chunk_id"]
+    else:
+        wide = P.RRF_K + 2 * most
+        found = with_ranks(settle(candidates(features, asked, wide, wide, True), "candidates"), features, asked)
+        one, two = 1 / (P.RRF_K + F.col("lexical_rank")), 1 / (P.RRF_K + F.col("dense_rank"))
+        fused = F.when(F.col("dense_rank").isNull(), one).otherwise((one + two) / 2) + P.ENTITY_BOOST * F.col("entity").cast("double")
+        scored = found.withColumn("score", F.round(fused, 8))
+        order = [F.desc("score"), F.desc("lexical"), "chunk_id"]
+    return _top(scored, "q", order, most).select("q", "chunk_id", "rank", "score", lexical.alias("lexical_score"), dense.alias("dense_score"), F.col("entity").cast("double").alias("entity_score"))
 
 
-def _top(scored: DataFrame, order: list, limit: int) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= limit)
+def _top(scored: DataFrame, key: str, order: list, limit: int) -> DataFrame:
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= limit)
 
 
 def with_rerank_score(ranked: DataFrame) -> DataFrame:

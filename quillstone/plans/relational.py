@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
 from quillstone.operators import evaluate, service
+from quillstone.sources.tables import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,16 +33,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one if all runs on this machine, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="quillstone-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a table that is scanned in fewer tasks than there are cores, dealt to all of them; larger tables stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
