@@ -95,6 +95,14 @@ def lexical_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda w: _canonical(stem(w))))
 
 
+def placed_tokens(text: Column) -> Column:
+    """Canonical tokens with their places from 1, repeats included; stop words have places, but go."""
+    words = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("place")))
+    kept = F.filter(placed, lambda x: ~x["word"].isin(*P.STOPWORDS))
+    return F.transform(kept, lambda x: F.struct(_canonical(stem(x["word"])).alias("word"), x["place"].alias("place")))
+
+
 def document_scope(text: Column) -> Column:
     folded = fold(text)
     out = F.when(F.lit(False), F.lit(None).cast("string"))

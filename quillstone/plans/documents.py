@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import answer, evaluation, extract, grounded, retrieve, trust
+from quillstone.operators import answer, evaluation, extract, fulltext, grounded, retrieve, trust
 from quillstone.plans.relational import query, read, spread
 from quillstone.sources import parse
 
@@ -308,6 +308,31 @@ def _rank_benchmark(method):
 q_rank_lexical, q_rank_dense, q_rank_hybrid, q_rank_hybrid_rerank = map(_rank_benchmark, retrieve.METHODS)
 
 
+_SQL_PLACED = lambda table, key, text: f"""SELECT {key}, place, coalesce({_SQL_MAP}[s], s) AS word FROM (SELECT {key}, place, {_SQL_STEM} AS s FROM (SELECT {key}, i AS place, l[i] AS t FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {key}, {_TOKENS.replace('text', text)} AS l FROM {table}))) WHERE t NOT IN ({_SQL_STOP}))"""
+
+
+@query(rf"""WITH {_SQL_CHUNKS},
+bw AS (SELECT item_id, i, w[i * 3 + 1 : i * 3 + 3] AS phrase FROM (SELECT item_id, w, unnest(range(0, (len(w) + 2) // 3)) AS i FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark))),
+bq AS (SELECT item_id || ':' || i AS question_id, array_to_string(phrase, ' ') AS question FROM bw),
+ci AS ({_SQL_PLACED('ch', 'chunk_id', 'text')}), qi AS (SELECT DISTINCT question_id, word FROM ({_SQL_PLACED('bq', 'question_id', 'question')})),
+qn AS (SELECT question_id, count(*) AS n FROM qi GROUP BY 1),
+oc AS (SELECT question_id, chunk_id, word, place, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY place) AS nth FROM qi JOIN ci USING (word)),
+al AS (SELECT question_id, chunk_id FROM oc JOIN qn USING (question_id) GROUP BY ALL HAVING count(DISTINCT word) = any_value(n)),
+oa AS (SELECT oc.* FROM oc JOIN al USING (question_id, chunk_id)),
+la AS (SELECT e.question_id, e.chunk_id, e.place, e.nth, b.word, max(b.place) AS last, max(b.nth) AS last_nth FROM oa e JOIN oa b ON b.question_id = e.question_id AND b.chunk_id = e.chunk_id AND b.place <= e.place GROUP BY ALL),
+en AS (SELECT question_id, chunk_id, place, nth, min(last) AS begun, min(last_nth) AS begun_nth, count(*) AS words FROM la GROUP BY ALL),
+cv AS (SELECT *, lag(begun) OVER (PARTITION BY question_id, chunk_id ORDER BY place) AS before FROM en JOIN qn USING (question_id) WHERE words = n),
+sc AS (SELECT question_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (place - begun) - (nth - begun_nth)) ORDER BY place), 8) AS score FROM cv WHERE before IS NULL OR begun > before GROUP BY ALL)
+SELECT question_id, chunk_id, rank::INTEGER AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 20""")
+def q_fts_cover(spark, d):
+    """Every run of three words of the benchmark's passages, searched in all chunks of all documents."""
+    chunks, asked = _passages(spark, d, False)
+    words = F.filter(F.split("question", r"\s+"), lambda w: w != "")
+    runs = asked.select("question_id", words.alias("w")).select("question_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") + 2) / 3).cast("int") - 1)).alias("i")).where("i >= 0")
+    phrases = runs.select(F.concat_ws(":", "question_id", "i").alias("question_id"), F.array_join(F.slice("w", F.col("i") * 3 + 1, 3), " ").alias("question"))
+    return fulltext.search_texts(phrases, chunks)
+
+
 # --- evaluation -----------------------------------------------------------
 
 _sql_plain = lambda text: f"trim(regexp_replace(regexp_replace({_FOLDED.replace('text', text)}, '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
