@@ -35,26 +35,35 @@ def question_intent(question: Column) -> Column:
     return out
 
 
-def chunk_features(chunks: DataFrame, vocabulary: list[str], scopes: list[str]) -> DataFrame:
-    """What of the questions' words each chunk holds: chunk_id, document_id, arrays said (its text), about (names, sections and texts of its document), name_tokens (scopes in the document's name), identity (what names the document: its file name and lines with an organisation's label or legal form); and vectors, where there are any."""
-    asked = lambda tokens, words: F.filter(tokens, lambda t: t.isin(words) if words else F.lit(False))
+def document_features(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """What of the questions' words each document holds, one row a document.
+
+    document_id, chunks (chunk_id, said, and vectors where there are any),
+    about (words of its name, sections and texts), name_tokens, identity (what
+    names it: file name and lines with an organisation's label or legal form).
+    Of the texts' words those that are asked for are kept. A row is as large as a document; chunks that are
+    partitioned by document aren't exchanged.
+    """
+    none = F.array().cast("array<string>")
     lines = F.filter(F.split("text", r"\r\n|[\n\r]"), lambda x: T.strip(x).rlike(f"(?iu){P.IDENTITY_LINE}"))
-    naming = [t for t in vocabulary if len(t) >= 4 and t not in P.GENERIC_TOKENS]
     vectors = [c for c in ("embedding", "embedding_model_id") if c in chunks.columns]
-    named = T.lexical_tokens(F.col("document_name"))
-    words = chunks.select(
-        "chunk_id", "document_id", *vectors, asked(T.lexical_tokens(F.col("text")), vocabulary).alias("said"), asked(named, [*vocabulary, *scopes]).alias("name_tokens"),
-        asked(T.lexical_tokens(F.coalesce("section", F.lit(""))), vocabulary).alias("section_tokens"), asked(T.lexical_tokens(F.array_join(lines, " ")), naming).alias("lines"),
-    )
-    own = F.array_union(F.array_union("said", "section_tokens"), asked(F.col("name_tokens"), vocabulary))
-    document = Window.partitionBy("document_id")  # one document's chunks, and words of the questions alone
-    about = F.array_distinct(F.flatten(F.collect_list(own).over(document)))
-    return words.select("chunk_id", "document_id", *vectors, "said", about.alias("about"), "name_tokens", F.array_union(asked(F.col("name_tokens"), naming), F.col("lines")).alias("identity"))
+    words = chunks.select("document_id", "document_name", "chunk_id", *vectors, T.lexical_tokens(F.col("text")).alias("said"), lines.alias("lines"), F.when(F.col("section").isNull(), none).otherwise(T.lexical_tokens(F.col("section"))).alias("section"))
+    words = words.select("document_id", "document_name", "chunk_id", *vectors, "section", F.when(F.size("lines") == 0, none).otherwise(T.lexical_tokens(F.array_join("lines", " "))).alias("lines"), _among("said", vocabulary).alias("said"))
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    grouped = words.groupBy("document_id").agg(F.first("document_name").alias("name"), F.collect_list(F.struct("chunk_id", *vectors, "said")).alias("chunks"), every(F.array_union("said", "section")).alias("about"), every("lines").alias("lines"))
+    named = grouped.withColumn("name_tokens", T.lexical_tokens(F.col("name")))
+    return named.select("document_id", "chunks", F.array_union("about", "name_tokens").alias("about"), "name_tokens", F.array_union("lines", "name_tokens").alias("identity"))
+
+
+def _among(column: str, words: list[str]) -> Column:
+    """Those of an array's words that are among these. Spelled as SQL, which is parsed at once, however many words there are."""
+    listed = ", ".join("'{}'".format(w.replace("\\", "\\\\").replace("'", "\\'")) for w in words)
+    return F.expr(f"filter({column}, w -> w IN ({listed}))" if words else "array()").cast("array<string>")
 
 
 def _asked(questions: DataFrame) -> list[Row]:
     """The questions with tokens, fields, scopes and vectors, in order; a stated set of a checked size."""
-    features = question_features(questions).drop("question", "intent")
+    features = question_features(questions).drop("question")
     rows = features.limit(MAX_QUESTIONS + 1).collect()
     if len(rows) > MAX_QUESTIONS:
         raise ValueError(f"more than {MAX_QUESTIONS} questions: ask in blocks")
@@ -63,9 +72,10 @@ def _asked(questions: DataFrame) -> list[Row]:
     return sorted(rows, key=lambda r: r["question_id"])
 
 
-def _naming(features: DataFrame) -> dict[str, object]:
+def _naming(features: DataFrame, vocabulary: list[str]) -> dict[str, object]:
     """Words of the questions that name one document alone, and which: at most as many as there are words."""
-    held = features.select("document_id", F.explode("identity").alias("token"))
+    naming = features.sparkSession.createDataFrame([(t,) for t in vocabulary if len(t) >= 4 and t not in P.GENERIC_TOKENS], "token string")
+    held = features.select("document_id", F.explode("identity").alias("token")).join(F.broadcast(naming), "token")
     rare = held.groupBy("token").agg(F.min("document_id").alias("least"), F.max("document_id").alias("most")).where("least = most")
     return {r["token"]: r["least"] for r in rare.collect()}
 
@@ -123,8 +133,8 @@ def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit:
         raise ValueError("limit must be at least 1")
     rows = _asked(questions)
     vocabulary = sorted({t for r in rows for t in r["q_tokens"]})
-    features = settle(chunk_features(chunks, vocabulary, sorted({r["q_scope"] for r in rows} - {None})), "features")
-    named = _naming(features)
+    features = settle(document_features(chunks, vocabulary), "features")
+    named = _naming(features, vocabulary)
     again = method == "hybrid_rerank"
     most = max(4 * limit, 20) if again else limit
     kind = questions.schema["question_id"].dataType.simpleString()
@@ -134,7 +144,7 @@ def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit:
         ids = questions.sparkSession.createDataFrame([(q, r["question_id"]) for q, r in enumerate(own)], f"q int, question_id {kind}")
         parts.append(_best_of_block(_block(own, named), features, method, most).join(F.broadcast(ids), "q").drop("q"))
     best = reduce(DataFrame.unionByName, parts)
-    known = question_features(questions).select("question_id", "intent", "q_tokens")
+    known = questions.sparkSession.createDataFrame([(r["question_id"], r["intent"], r["q_tokens"]) for r in rows], f"question_id {kind}, intent string, q_tokens array<string>")
     texts = chunks.select("chunk_id", "document_id", "document_name", "page", "section", "text")
     out = best.join(F.broadcast(known), "question_id").join(texts, "chunk_id")
     if not again:

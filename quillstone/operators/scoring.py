@@ -63,15 +63,16 @@ class Asked:
             self.by_length[length] = np.array(at), np.array([self.vectors[q] for q in at], float)
         self.limited = [q for q, x in enumerate(self.document_ids) if x is not None]
 
-    def hits(self, token_lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """How many of its tokens, and of its fields, each question shares with each list: lists x questions."""
-        n, width = len(token_lists), len(self.question_ids)
-        words = np.array([self.word.get(t, -1) for own in token_lists for t in own], np.int64)
-        row = np.repeat(np.arange(n), [len(x) for x in token_lists])
+    def hits(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of its tokens, and of its fields, each question shares with each list of words: lists x questions."""
+        n, width = len(lists), len(self.question_ids)
+        spelled = lists.flatten().dictionary_encode()
+        known = np.array([self.word.get(t, -1) for t in spelled.dictionary.to_pylist()] or [-1], np.int64)
+        words = known[spelled.indices.to_numpy(zero_copy_only=False)] if len(spelled) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         row, words = row[words >= 0], words[words >= 0]
-        degree = self.degree[words] if len(words) else np.zeros(0, np.int64)
-        total = int(degree.sum())
-        at = np.repeat(self.begin[words] - np.append(0, np.cumsum(degree))[:-1], degree) + np.arange(total) if total else np.zeros(0, np.int64)
+        degree = self.degree[words]
+        at = np.repeat(self.begin[words] - np.append(0, np.cumsum(degree))[:-1], degree) + np.arange(degree.sum())
         cell = np.repeat(row, degree) * width + self.asked_by[at]
         shape = (n, width)
         return np.bincount(cell, minlength=n * width).reshape(shape), np.bincount(cell[self.as_field[at]], minlength=n * width).reshape(shape)
@@ -90,33 +91,34 @@ class Block:
 
 
 def blocks(asked: Asked, batch: pa.RecordBatch) -> Iterator[Block]:
-    """Takes chunk_id, document_id, said, about and name_tokens, and embedding and embedding_model_id where there are any."""
-    step = max(1, _CELLS // max(1, len(asked.question_ids)))
-    for at in range(0, batch.num_rows, step):
-        yield _block(asked, batch.slice(at, step).to_pydict())
-
-
-def _block(asked: Asked, rows: dict[str, list]) -> Block:
-    order = sorted(range(len(rows["chunk_id"])), key=rows["chunk_id"].__getitem__)
-    column = lambda name: [rows[name][i] for i in order]
-    chunk_ids, documents = np.array(column("chunk_id"), object), column("document_id")
-    n, width = len(order), len(asked.question_ids)
-    local, in_fields = asked.hits([x or [] for x in column("said")])
+    """Takes rows of document_features(); a block holds whole documents."""
+    sizes = batch.column("chunks").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    most = _CELLS // max(1, len(asked.question_ids))
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield _block(asked, batch.slice(begin, i - begin))
+            begin, held = i, 0
+        held += size
+    if held:
+        yield _block(asked, batch.slice(begin))
+
+
+def _block(asked: Asked, rows: pa.RecordBatch) -> Block:
+    lists = rows.column("chunks")
+    chunks = lists.flatten()
+    chunk_ids = np.array(chunks.field("chunk_id").to_pylist(), object)
+    back = np.repeat(np.arange(rows.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    n, width = len(chunk_ids), len(asked.question_ids)
+    local, in_fields = asked.hits(chunks.field("said"))
     # What a document is about is the same for all of its chunks.
-    first: dict[object, int] = {}
-    for i, d in enumerate(documents):
-        first.setdefault(d, i)
-    own = {d: k for k, d in enumerate(first)}
-    back = np.array([own[d] for d in documents], np.int64)
-    about, names = column("about"), column("name_tokens")
-    document_hits = asked.hits([about[i] or [] for i in first.values()])[0][back]
-    entity, in_scope = np.zeros((len(first), width), bool), np.zeros((len(first), width), bool)
-    allowed = np.ones((len(first), width), bool)
-    for k, (d, i) in enumerate(first.items()):
+    documents, names = rows.column("document_id").to_pylist(), rows.column("name_tokens").to_pylist()
+    document_hits = asked.hits(rows.column("about"))[0][back]
+    entity, in_scope, allowed = (np.full((len(documents), width), x) for x in (False, False, True))
+    for k, (d, own) in enumerate(zip(documents, names, strict=True)):
         entity[k, asked.entities.get(d, [])] = True
-        for scope, at in asked.by_scope.items():
-            if scope in (names[i] or []):
-                in_scope[k, at] = True
+        for scope in asked.by_scope.keys() & set(own or []):
+            in_scope[k, asked.by_scope[scope]] = True
         for q in asked.limited:
             allowed[k, q] = d in asked.document_ids[q]
     entity, in_scope, allowed = entity[back], in_scope[back], allowed[back]
@@ -134,17 +136,20 @@ def _block(asked: Asked, rows: dict[str, list]) -> Block:
         0.8 * share + 0.2 * document,
     )
     dense, compatible = np.zeros((n, width)), np.zeros((n, width), bool)
-    if "embedding" in rows:
-        none = np.zeros(width, bool)
-        compatible = np.stack([asked.by_model.get(m, none) for m in column("embedding_model_id")])
-        vectors = column("embedding")
-        lengths = np.array([len(v) if v else 0 for v in vectors])
+    if "embedding" in chunks.type.names:
+        models = chunks.field("embedding_model_id").dictionary_encode()
+        same = np.array([asked.by_model.get(m, np.zeros(width, bool)) for m in [*models.dictionary.to_pylist(), None]])
+        compatible = same[models.indices.fill_null(len(same) - 1).to_numpy(zero_copy_only=False)]
+        vectors = chunks.field("embedding")
+        lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         for length, (at, theirs) in asked.by_length.items():
             having = np.flatnonzero(lengths == length)
             if len(having):
-                dense[np.ix_(having, at)] = np.clip(np.array([vectors[i] for i in having], float) @ theirs.T, -1.0, 1.0)
+                own = vectors.take(pa.array(having)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
+                dense[np.ix_(having, at)] = np.clip(own @ theirs.T, -1.0, 1.0)
         dense = np.where(compatible & np.isfinite(dense), dense, 0.0)
-    return Block(chunk_ids, rounded(lexical), rounded(dense), entity, compatible, allowed)
+    order = np.argsort(chunk_ids)
+    return Block(*(x[order] for x in (chunk_ids, rounded(lexical), rounded(dense), entity, compatible, allowed)))
 
 
 def best(asked: Asked, batches: Iterator[pa.RecordBatch], lexical: int, dense: int, with_entities: bool) -> Iterator[pa.RecordBatch]:
