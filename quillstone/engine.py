@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,14 @@ from pyspark.sql import functions as F
 from quillstone.functions import patterns as P
 from quillstone.operators import evaluation, providers, retrieve, service
 from quillstone.sources import datasets, parse
+from quillstone.sources.snapshots import Snapshot
 from quillstone.streaming import ingest
 
-AUDIT = "id string, actor string, action string, document_id string, result string, correlation_id string, metadata_safe map<string,string>, created_at timestamp, batch bigint"
+AUDIT = "id string, actor string, action string, document_id string, result string, correlation_id string, metadata_safe map<string,string>, created_at timestamp"
 USERS = "username string, password_hash string, role string, is_active boolean"
 DOSSIERS = "id string, name string, description string, is_synthetic boolean"
 RUNS = "id string, dataset_version string, parameters_version string, split string, mode string, metrics map<string,string>, verdict string, created_at timestamp"
+TABLES = {"users": USERS, "dossiers": DOSSIERS, "audit_events": AUDIT, "evaluations": RUNS}
 STATES = ("queued", "processing", "completed", "failed", "deleted")
 
 
@@ -28,30 +29,28 @@ class Engine:
     """Tables, an ingest that fills them, and the providers of one mode. A caller is named by (username, role)."""
 
     def __init__(self, spark: SparkSession, folder: str, bundle: providers.Bundle | None = None):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark = spark
         self.bundle = bundle or providers.bundle("grounded")
-        self.ingest = ingest.Ingest(spark, f"{self.folder}/ingest")
+        self.ingest = ingest.Ingest(spark, folder)
+        self.store = self.ingest.store
 
     # --- tables ---
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
-
-    def _replace(self, rows: DataFrame, name: str, schema: str) -> None:
-        """Write a small table anew: the old one is read before it goes."""
-        kept = self.spark.createDataFrame(rows.collect(), schema)
-        kept.write.mode("overwrite").parquet(f"{self.folder}/{name}")
-
-    def _audit(self, caller, action: str, result: str = "success", document_id: str | None = None, **safe: str) -> str:
-        """One event; what goes into it never holds documents' or questions' text."""
-        correlation = str(uuid.uuid4())
-        row = (str(uuid.uuid4()), caller and caller[0], action, document_id, result, correlation, {k: str(v) for k, v in safe.items()})
-        rows = self.spark.createDataFrame([row], ", ".join(AUDIT.split(", ")[:7])).withColumn("created_at", F.current_timestamp()).withColumn("batch", F.lit(0).cast("long"))
-        rows.write.mode("append").parquet(f"{self.folder}/audit_events")
-        return correlation
+    def _table(self, name: str, at: Snapshot | None = None) -> DataFrame:
+        return self.store.read(name, TABLES[name], at).drop("commit")
+
+    def _events(self, caller, action: str, result: str = "success", documents: DataFrame | None = None, **safe: str) -> DataFrame:
+        """An event, or one for each of the documents (document_id); what goes into it never holds documents' or questions' text."""
+        rows = (self.spark.range(1).select(F.lit(None).cast("string").alias("document_id")) if documents is None else documents).select("document_id")
+        entries = [F.lit(x) for k, v in safe.items() for x in (k, str(v))]
+        return rows.select(
+            F.expr("uuid()").alias("id"), F.lit(caller and caller[0]).cast("string").alias("actor"), F.lit(action).alias("action"), "document_id", F.lit(result).alias("result"),
+            F.lit(str(uuid.uuid4())).alias("correlation_id"), F.create_map(*entries).cast("map<string,string>").alias("metadata_safe"), F.current_timestamp().alias("created_at"),
+        )
+
+    def _audit(self, caller, action: str, result: str = "success", **safe: str) -> None:
+        """Record a request that changes nothing else."""
+        self.store.change(lambda base: {"append": {"audit_events": self._events(caller, action, result, **safe)}})
 
     def _may(self, caller, action: str) -> None:
         if caller is None or action not in P.ROLE_ACTIONS.get(caller[1], ()):
@@ -66,29 +65,28 @@ class Engine:
         return self.spark.range(1).count() == 1
 
     def put_users(self, named: DataFrame) -> None:
-        self._replace(service.upsert_users(self._table("users", USERS), named), "users", USERS)
+        self.store.change(lambda base: {"replace": {"users": service.upsert_users(self._table("users", base), named)}})
 
     def put_dossiers(self, rows: DataFrame) -> None:
-        old = self._table("dossiers", DOSSIERS)
-        self._replace(old.unionByName(service.insert_new(old, rows, ["id"])), "dossiers", DOSSIERS)
+        self.store.change(lambda base: {"append": {"dossiers": service.insert_new(self._table("dossiers", base), rows, ["id"])}})
 
     def sign_in(self, username: str, verify) -> tuple[str, str] | None:
         """The caller, if the user is active and `verify` takes the stored hash; both outcomes are recorded."""
-        found = service.lookup(self._table("users", USERS), "username", username).where("is_active").first()
+        found = service.lookup(self._table("users"), "username", username).where("is_active").first()
         ok = found is not None and verify(found["password_hash"])
         self._audit((username, ""), "auth.login", "success" if ok else "failure")
         return (found["username"], found["role"]) if ok else None
 
     def me(self, caller) -> DataFrame:
-        return service.lookup(self._table("users", USERS), "username", caller[0]).where(F.col("is_active") & (F.col("role") == caller[1])).select("username", "role")
+        return service.lookup(self._table("users"), "username", caller[0]).where(F.col("is_active") & (F.col("role") == caller[1])).select("username", "role")
 
     def dossiers(self, caller) -> DataFrame:
         self._may(caller, "view_document")
-        return self._table("dossiers", DOSSIERS).orderBy("name", "id")
+        return self._table("dossiers").orderBy("name", "id")
 
     def documents(self, caller, dossier: str) -> DataFrame:
         self._may(caller, "view_document")
-        return self.ingest.status().where((F.col("dossier_id") == dossier) & (F.col("status") != "deleted")).orderBy(F.desc("batch"), "document_id")
+        return self.ingest.status().where((F.col("dossier_id") == dossier) & (F.col("status") != "deleted")).orderBy(F.desc("commit"), "document_id")
 
     def document(self, caller, document_id: str) -> DataFrame:
         self._may(caller, "view_document")
@@ -104,35 +102,25 @@ class Engine:
         listed = files if allow_list is None else service.admissible(files, allow_list)
         listed = listed.select("document_id").withColumn("listed", F.lit(True))
         wrong = parse.upload_error(F.col("filename"), F.col("declared"), F.col("data"), max_bytes)
-        checked = files.join(listed, "document_id", "left").withColumn("code", F.when(F.col("listed").isNull(), "not_allowed").otherwise(wrong)).persist()
+        checked = files.join(listed, "document_id", "left").withColumn("code", F.when(F.col("listed").isNull(), "not_allowed").otherwise(wrong))
         sound = checked.where("code IS NULL").select("document_id", F.lit(dossier).alias("dossier_id"), "filename", parse.media_type(F.col("filename")).alias("media_type"), "data", F.lit(1).alias("attempt"), F.lit(False).alias("deleted"))
-        self.ingest.handle(sound, time.time_ns() // 1_000_000)
-        state = self.ingest.status().select("document_id", "status", "error_code")
+        self.ingest.handle(sound, record={"audit_events": self._events(caller, "document.upload", count=checked.count())})
+        state = self.ingest.status(of=checked).select("document_id", "status", "error_code")
         out = checked.join(state, "document_id", "left").select("document_id", F.coalesce("code", F.when(F.col("status").isNull(), "duplicate").when(F.col("status") == "failed", F.col("error_code")).otherwise("accepted")).alias("outcome"))
-        rows = self.spark.createDataFrame(out.collect(), "document_id string, outcome string")
-        checked.unpersist()
-        self._audit(caller, "document.upload", count=rows.count())
-        return rows
+        return out
 
     def delete(self, caller, document_ids: list[str]) -> int:
-        """Withdraw documents: their state says so, and nothing derived from them is read any more. How many there were."""
+        """Withdraw documents: their state says so, and nothing derived from them is read any more. How many there were. States and events are one commit."""
         self._may(caller, "delete_document")
-        gone = self.ingest.status().where("status <> 'deleted'").where(F.col("document_id").isin(document_ids)).select("document_id", "dossier_id", "digest").collect()
-        if gone:
-            number = time.time_ns() // 1_000_000
-            rows = self.spark.createDataFrame(gone, "document_id string, dossier_id string, digest string")
-            self.ingest.withdraw(rows, number)
-            self.ingest.write_status(rows.select("*", F.lit("deleted").alias("status"), F.lit("document_deleted").alias("error_code"), F.lit(0).alias("attempts")), number)
-            for r in gone:
-                self._audit(caller, "document.delete", document_id=r["document_id"])
-        return len(gone)
+        return self.ingest.withdraw(document_ids, lambda gone: {"audit_events": self._events(caller, "document.delete", documents=gone)})
 
     def ask(self, caller, dossier: str, questions: DataFrame) -> DataFrame:
         """Answers to questions (question_id, question) of 1 to 1000 characters from a dossier's documents."""
         self._may(caller, "ask_question")
         asked = questions.where(F.length("question").between(1, 1000))
-        names = self.ingest.status().where(F.col("dossier_id") == dossier).select("document_id", F.col("document_id").alias("document_name"))
-        chunks = self.ingest.content().join(names, "document_id")
+        at = self.store.snapshot()
+        names = self.ingest.status(at).where(F.col("dossier_id") == dossier).select("document_id", F.col("document_id").alias("document_name"))
+        chunks = self.ingest.content(at).join(names, "document_id")
         out = service.answer_view(self.bundle.ask(asked, chunks))
         self._audit(caller, "question.ask", mode=self.bundle.mode)
         return out.withColumn("mode", F.lit(self.bundle.mode))
@@ -140,17 +128,18 @@ class Engine:
     def extraction(self, caller, dossier: str) -> DataFrame:
         """Fields of completed documents, without what gives instructions."""
         self._may(caller, "view_extraction")
-        done = self.ingest.status().where((F.col("dossier_id") == dossier) & (F.col("status") == "completed")).select("document_id")
-        fields = self.ingest.table("fields").join(done, "document_id", "left_semi")
+        at = self.store.snapshot()
+        done = self.ingest.status(at).where((F.col("dossier_id") == dossier) & (F.col("status") == "completed")).select("document_id")
+        fields = self.ingest.table("fields", at).drop("commit").join(done, "document_id", "left_semi")
         return fields.where(~retrieve.T.untrusted(F.col("value"))).orderBy("document_id", "field", "value_ord")
 
     def audit_events(self, caller, limit: int = 200) -> DataFrame:
         self._may(caller, "view_audit")
-        return service.view(self._table("audit_events", AUDIT).orderBy(F.desc("created_at"), "id").limit(limit).withColumnRenamed("actor", "actor_id"), "audit_event")
+        return service.view(self._table("audit_events").orderBy(F.desc("created_at"), "id").limit(limit).withColumnRenamed("actor", "actor_id"), "audit_event")
 
     def evaluations(self, caller) -> DataFrame:
         self._may(caller, "view_document")
-        return self._table("evaluations", RUNS).orderBy(F.desc("created_at"), "id")
+        return self._table("evaluations").orderBy(F.desc("created_at"), "id")
 
     def run_evaluation(self, caller, corpus: DataFrame, manifest: DataFrame, split: str = "development") -> DataFrame:
         """Evaluate a manifest and record the run. Only the development split may be asked for."""
@@ -162,9 +151,9 @@ class Engine:
         names = [c for c in metrics.columns if c != "verdict"]
         entries = F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast("string"))))
         rows = metrics.select(F.lit(str(uuid.uuid4())).alias("id"), F.lit(head[0]).alias("dataset_version"), F.lit(head[1]).alias("parameters_version"), F.lit(split).alias("split"), F.lit(self.bundle.mode).alias("mode"), service.run_record(entries).alias("metrics"), "verdict", F.current_timestamp().alias("created_at"))
-        kept = self.spark.createDataFrame(rows.collect(), RUNS)
-        kept.write.mode("append").parquet(f"{self.folder}/evaluations")
-        self._audit(caller, "evaluation.run", kept.first()["verdict"].lower(), split=split)
+        kept = self.spark.createDataFrame(rows.collect(), RUNS)  # one row
+        event = self._events(caller, "evaluation.run", kept.first()["verdict"].lower(), split=split)
+        self.store.change(lambda base: {"append": {"evaluations": kept, "audit_events": event}})
         return kept
 
     def status(self, caller) -> DataFrame:

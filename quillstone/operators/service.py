@@ -126,16 +126,17 @@ def claim(spark: SparkSession, path: str, content: str) -> bool:
 
 
 def replace_file(spark: SparkSession, path: str, content: str) -> None:
-    """Write a small file under another name and rename it, so that nobody reads half of it."""
-    java = spark._jvm.org.apache.hadoop.fs
-    final, part = java.Path(path), java.Path(f"{path}.part")
+    """Write a small file under another name and rename it over the old one, so that nobody reads half of it or finds none."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    final, part = fs.Path(path), fs.Path(f"{path}.part")
     files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    final, part = files.makeQualified(final), files.makeQualified(part)
     out = files.create(part, True)
     out.write(bytearray(content.encode()))
     out.close()
-    files.delete(final, False)
-    if not files.rename(part, final):
-        raise OSError(f"cannot rename {part} to {final}")
+    over = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration()).rename(part, final, over)
 
 
 # --- payloads -------------------------------------------------------------

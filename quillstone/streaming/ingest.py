@@ -2,22 +2,26 @@
 
 Uploads arrive as files in a folder. Every micro-batch is handled as tables:
 duplicates and documents that are done are left out, sound ones are parsed
-and written, and their task moves on. Derived tables are written before the
-status that makes them count, and a batch's rows are written under its number,
-so a batch that is run again after a failure replaces its own rows.
+and written, and their task moves on. Chunks, fields, states and what a request
+records beside them are published by one commit; a batch that was committed is
+not taken again, and one that met another writer is handled anew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import extract
 from quillstone.sources import parse
+from quillstone.sources.snapshots import Snapshot, Store
 
 UPLOAD = "document_id string, dossier_id string, filename string, media_type string, data binary, attempt int, deleted boolean"
-CHUNKS = "chunk_id string, document_id string, page int, section string, ordinal int, text string, batch bigint"
-STATUS = "document_id string, dossier_id string, digest string, status string, error_code string, attempts int, batch bigint"
+CHUNKS = "chunk_id string, document_id string, page int, section string, ordinal int, text string"
+FIELDS = "document_id string, field string, value_ord int, value string, citation struct<chunk_id:string,page:int,excerpt:string>"
+STATUS = "document_id string, dossier_id string, digest string, status string, error_code string, attempts int"
+WITHDRAWN = "document_id string"
+TABLES = {"chunks": CHUNKS, "fields": FIELDS, "status": STATUS, "withdrawn": WITHDRAWN}
 MAX_ATTEMPTS = 3
 RETRY_SECONDS = 2
 
@@ -34,80 +38,93 @@ class Ingest:
     """The tables of an engine under one folder, and the stream that fills them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.read.parquet(path)
-        return self.spark.createDataFrame([], schema or STATUS)
-
-    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder}/{name}")
-
-    def status(self) -> DataFrame:
-        """The newest state of every document."""
-        newest = Window.partitionBy("document_id").orderBy(F.desc("batch"))
-        return self.table("status").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
-
-    def withdraw(self, documents: DataFrame, number: int) -> None:
-        """Documents (document_id) that are deleted, also while a batch that holds them is under way."""
-        self._write(documents.select("document_id"), "withdrawn", number)
-
-    def write_status(self, rows: DataFrame, number: int) -> None:
-        """States that documents came to outside a batch."""
-        self._write(rows, "status", number)
-
-    def withdrawn(self) -> DataFrame:
-        return self.table("withdrawn", "document_id string, batch bigint").select("document_id").distinct()
-
-    def handle(self, batch: DataFrame, number: int) -> None:
-        """One micro-batch of uploads.
+        self.spark, self.store = spark, Store(spark, folder)
+
+    def table(self, name: str, at: Snapshot | None = None) -> DataFrame:
+        return self.store.read(name, TABLES[name], at)
+
+    def status(self, at: Snapshot | None = None, of: DataFrame | None = None) -> DataFrame:
+        """The newest state of every document, or of those named by `of` (document_id)."""
+        rows = self.table("status", at)
+        if of is not None:
+            rows = rows.join(of.select("document_id"), "document_id", "left_semi")
+        newest = rows.groupBy("document_id").agg(F.max_by(F.struct("dossier_id", "digest", "status", "error_code", "attempts", "commit"), "commit").alias("s"))
+        return newest.select("document_id", "s.*")
+
+    def withdrawn(self, at: Snapshot | None = None) -> DataFrame:
+        """Documents that were deleted, also while a batch that holds them was under way."""
+        return self.table("withdrawn", at).select("document_id").distinct()
+
+    def withdraw(self, document_ids: list[str], record=None) -> int:
+        """Delete documents; how many there were. `record` makes rows to commit beside them, by table, from the rows that go."""
+        found = 0
+
+        def changes(base: Snapshot) -> dict | None:
+            nonlocal found
+            named = self.spark.createDataFrame([(d,) for d in document_ids], WITHDRAWN)  # a request's list
+            gone = self.status(base, named).where("status <> 'deleted'").select("document_id", "dossier_id", "digest")
+            found = gone.count()
+            if not found:
+                return None
+            states = gone.select("*", F.lit("deleted").alias("status"), F.lit("document_deleted").alias("error_code"), F.lit(0).alias("attempts"))
+            return {"append": {"withdrawn": gone.select("document_id"), "status": states, **(record(gone) if record else {})}}
+
+        self.store.change(changes)
+        return found
+
+    def handle(self, batch: DataFrame, number: int | None = None, record: dict[str, DataFrame] | None = None, stream: str = "uploads") -> None:
+        """One micro-batch of uploads, committed whole; `number` is its place in a stream, `record` rows to commit beside it.
 
         An upload without data is one whose file can't be read now: it is
         queued again, until it has been tried MAX_ATTEMPTS times. What is
         wrong with a file itself is final.
         """
-        before = self.table("status").where(F.col("batch") < number)
-        newest = Window.partitionBy("document_id").orderBy(F.desc("batch"))
-        known = before.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+
+        def changes(base: Snapshot) -> dict | None:
+            if number is not None and base.streams.get(stream, -1) >= number:
+                return None
+            return {"append": self._outcome(batch, base, held) | (record or {}), "stream": None if number is None else (stream, number)}
+
+        held: list[DataFrame] = []
+        try:
+            self.store.change(changes)
+        finally:
+            for rows in held:
+                rows.unpersist()
+
+    def _outcome(self, batch: DataFrame, base: Snapshot, held: list[DataFrame]) -> dict[str, DataFrame]:
+        """Rows to append, by table; what is held in memory for them goes to `held`."""
         digest = F.sha2("data", 256)
         arrived = batch.withColumn("digest", digest).dropDuplicates(["document_id"])
         is_gone = F.col("gone").isNotNull() | F.coalesce("deleted", F.lit(False))
-        arrived = arrived.join(self.withdrawn().withColumn("gone", F.lit(True)), "document_id", "left")
+        arrived = arrived.join(self.withdrawn(base).withColumn("gone", F.lit(True)), "document_id", "left")
         withdrawn = arrived.where(is_gone)
         fresh = arrived.where(~is_gone).drop("gone")
         # Of equal contents in a dossier one is taken; files that can't be read have none yet.
         first = fresh.groupBy("dossier_id", F.coalesce("digest", "document_id").alias("same")).agg(F.min("document_id").alias("document_id"))
         fresh = fresh.join(first.select("document_id"), "document_id", "left_semi")
         # What the dossier holds under another id, and what is completed or withdrawn, is not taken again.
+        alike = self.table("status", base).join(fresh.select("digest").where("digest IS NOT NULL"), "digest", "left_semi")
+        known = self.status(base, fresh.select("document_id").unionByName(alike.select("document_id"))).persist()
         active = known.where("status IN ('completed', 'processing', 'queued')").select("dossier_id", "digest", F.col("document_id").alias("_other"))
         fresh = fresh.join(active, (fresh["dossier_id"] == active["dossier_id"]) & (fresh["digest"] == active["digest"]) & (fresh["document_id"] != active["_other"]), "left_anti")
         settled = known.where("status IN ('completed', 'deleted', 'failed')").select("document_id")
         fresh = fresh.join(settled, "document_id", "left_anti").persist()
+        held += [known, fresh]
         tried = known.select("document_id", F.col("attempts").alias("_tried"))
         readable = fresh.where("data IS NOT NULL")
         pages, parse_errors = parse.parse(readable.select("document_id", "media_type", "data"))
         chunks, chunk_errors = parse.document_chunks(pages)
         fields = extract.extract_labelled(chunks)
-        self._write(chunks, "chunks", number)
-        self._write(fields, "fields", number)
         unread = fresh.where("data IS NULL").select("document_id", F.lit("storage_unavailable").alias("error_code"))
         errors = parse_errors.unionByName(chunk_errors).unionByName(unread)
         attempts = F.coalesce("_tried", F.lit(0)) + 1
         outcome = fresh.join(errors, "document_id", "left").join(tried, "document_id", "left").withColumn("attempts", attempts)
-        # Deletions are looked at once more: what was withdrawn meanwhile doesn't count as done.
-        late = self.withdrawn().withColumn("late", F.lit(True))
         final = ~F.coalesce(F.col("error_code") == "storage_unavailable", F.lit(False))
         status, _ = next_state(F.col("error_code"), F.col("attempts"), final)
-        done = outcome.join(late, "document_id", "left").select(
-            "document_id", "dossier_id", "digest", F.when(F.col("late"), "deleted").otherwise(status).alias("status"),
-            F.when(F.col("late"), "document_deleted").otherwise(F.col("error_code")).alias("error_code"), "attempts",
-        )
+        done = outcome.select("document_id", "dossier_id", "digest", status.alias("status"), "error_code", "attempts")
         gone = withdrawn.select("document_id", "dossier_id", "digest", F.lit("deleted").alias("status"), F.lit("document_deleted").alias("error_code"), F.lit(0).alias("attempts"))
-        self._write(done.unionByName(gone), "status", number)
-        fresh.unpersist()
+        return {"chunks": chunks, "fields": fields, "status": done.unionByName(gone)}
 
     def due(self) -> DataFrame:
         """document_id and seconds to wait of what is to be handed in again."""
@@ -119,11 +136,13 @@ class Ingest:
         stream = self.spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1000).parquet(uploads)
         return stream.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def content(self) -> DataFrame:
-        """Chunks of completed documents that weren't withdrawn, at no time."""
-        return self.table("chunks", CHUNKS).join(self.withdrawn(), "document_id", "left_anti").join(self.status().where("status = 'completed'").select("document_id"), "document_id", "left_semi").drop("batch")
+    def content(self, at: Snapshot | None = None) -> DataFrame:
+        """Chunks of completed documents that weren't withdrawn, at no time; all as of one snapshot."""
+        at = at or self.store.snapshot()
+        done = self.status(at).where("status = 'completed'").select("document_id")
+        return self.table("chunks", at).join(self.withdrawn(at), "document_id", "left_anti").join(done, "document_id", "left_semi").drop("commit")
 
 
 def audit_log(status: DataFrame) -> DataFrame:
     """One event for each state that a document came to."""
-    return status.select("document_id", F.concat(F.lit("document_"), "status").alias("action"), F.when(F.col("error_code").isNull(), "success").otherwise("failure").alias("result"), F.to_json(F.struct("error_code", "attempts")).alias("metadata"), "batch")
+    return status.select("document_id", F.concat(F.lit("document_"), "status").alias("action"), F.when(F.col("error_code").isNull(), "success").otherwise("failure").alias("result"), F.to_json(F.struct("error_code", "attempts")).alias("metadata"), "commit")
