@@ -1,15 +1,17 @@
 """WARC records and a Merkle fixity audit of replicas.
 
 Records are numbered in order and cut into files of a fixed number of
-records. A leaf hashes a record's digest with its range of bytes in the file;
-sixteen adjacent nodes make the node above them, up to one root, so a file is
-a node, too. Two replicas are compared from their roots down, and only below
-nodes that differ, until the records are found that are damaged or missing.
-
-The primary's records give the places in the tree: a replica's record takes
-the place of the primary's record with its page_id (among equal page_ids, of
-one with the same bytes, else by rank). So a record that the replica lost or
-has in addition leaves other files alone.
+records, in which each has its range of bytes. For an audit each replica
+builds a tree by itself: the key space is cut into ranges of BUCKET
+consecutive page_ids, the same for both. A leaf holds a range's number of
+records and bytes and the sums of the words of their digests (which are
+those of a set with repeats, and partial aggregates: a page_id with many
+records isn't gathered in one task). A node above hashes up to sixteen
+children in order with their bytes, so that it stands for an ordered range
+of offsets. Roots are compared, then the children of nodes that differ, and
+so on down; only the records of leaves that differ are read and matched, by
+page_id, then by bytes, else by rank. So a record that a replica lost or
+has in addition leaves the others alone.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from quillstone.llm import _shared
 
 FANOUT = 16
 FILE_RECORDS = FANOUT**2
+BUCKET = 256  # page_ids of a leaf
 DATE = "2000-01-01T00:00:00Z"
 DAMAGE_EVERY = 97
 END = "\r\n\r\n"
 
 
 def record(page_id: Column, url: Column, html: Column, date: str = DATE) -> Column:
-    """A whole WARC resource record. A null url or html counts as empty, a null page_id is written as `null`."""
+    """A whole WARC resource record. A null url or html counts as empty, a null page_id is written as `null`, and line ends in a url as %0D and %0A."""
+    url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     body = F.coalesce(html, F.lit(""))
     length = F.octet_length(body).cast("string")
     return F.concat(
@@ -59,17 +63,12 @@ def _placed(numbered: DataFrame) -> DataFrame:
     return filed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
-def _leaves(numbered: DataFrame) -> DataFrame:
-    own = F.sha2(F.concat_ws("|", "offset", "length", "sha256"), 256)
-    return _shared.settle(_placed(numbered).select("n", "page_id", "file", "offset", "length", "sha256", own.alias("hash")), "leaves")
-
-
 def leaves(pages: DataFrame) -> DataFrame:
-    """n, page_id, file, offset, length, sha256 and hash of each record, ordered by page_id, then by digest.
+    """n, page_id, file, offset, length and sha256 of each record, ordered by page_id, then by digest.
 
     A null page_id comes first. Rows that repeat are records of their own.
     """
-    return _leaves(_ordered(pages, "records"))
+    return _placed(_ordered(pages, "records"))
 
 
 def _rank(rows: DataFrame, n: str, *columns: str) -> DataFrame:
@@ -93,18 +92,33 @@ def _pairs(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return equal.unionByName(match(_rank(left, "at_left", "page_id"), _rank(right, "at_right", "page_id"), "page_id"))
 
 
-def tree(records: DataFrame) -> list[DataFrame]:
-    """The levels (n, hash) above the records, from below; the last has the root alone. None for no records."""
-    levels = [records.select("n", "hash")]
-    while levels[-1].limit(2).count() > 1:
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "hash"))), lambda x: x["hash"]), "")
-        above = levels[-1].groupBy(F.floor(F.col("n") / FANOUT).alias("n")).agg(F.sha2(joined, 256).alias("hash"))
+def lowest_bucket(*replicas: DataFrame) -> int:
+    """The least range of page_ids that any of the replicas' records is in; 0 where there are none."""
+    least = [r.agg(F.min(F.floor(F.col("page_id") / BUCKET)).alias("least")).first()["least"] for r in replicas]
+    return min((x for x in least if x is not None), default=0)
+
+
+def _in_bucket(records: DataFrame, lowest: int) -> DataFrame:
+    """With the leaf that each record is in; those without page_id are in the first."""
+    return records.withColumn("bucket", F.coalesce(F.floor(F.col("page_id") / BUCKET) - lowest + 1, F.lit(0)).cast("long"))
+
+
+def tree(records: DataFrame, lowest: int) -> list[DataFrame]:
+    """The levels (n, bytes, hash) of one replica, from below; the last has the root alone. No rows for no records. Takes page_id, length, sha256."""
+    words = [F.sum(F.conv(F.substring("sha256", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(8)]
+    summed = _in_bucket(records, lowest).groupBy(F.col("bucket").alias("n")).agg(F.count("*").alias("records"), F.sum("length").alias("bytes"), *words)
+    own = F.sha2(F.concat_ws("|", "records", "bytes", *(f"w{i}" for i in range(8))), 256)
+    levels = [_shared.settle(summed.select("n", "bytes", own.alias("hash")), "leaves")]
+    while levels[-1].limit(2).count() > 1 or (top := levels[-1].first()) and top["n"] > 0:
+        children = F.array_sort(F.collect_list(F.struct("n", "bytes", "hash")))
+        joined = F.array_join(F.transform(children, lambda x: F.concat_ws("|", x["n"], x["bytes"], x["hash"])), ";")
+        above = levels[-1].groupBy(F.floor(F.col("n") / FANOUT).alias("n")).agg(F.sum("bytes").alias("bytes"), F.sha2(joined, 256).alias("hash"))
         levels.append(_shared.settle(above, f"level{len(levels)}"))
     return levels
 
 
 def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """n of the records in which two trees differ, by descending from the roots."""
+    """n of the leaves in which two trees differ, by descending from the roots."""
     top = max(len(ours), len(theirs)) - 1
     suspects = None
     for level in range(top, -1, -1):
@@ -119,26 +133,39 @@ def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     return suspects
 
 
+def suspect_records(ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of either replica in leaves that differ, which are all that need be compared."""
+    lowest = lowest_bucket(ours, theirs)
+    found = differing(tree(ours, lowest), tree(theirs, lowest)).select(F.col("n").alias("bucket"))
+    return tuple(_in_bucket(r, lowest).join(found, "bucket", "left_semi").drop("bucket") for r in (ours, theirs))
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """One row for each record of either replica: page_id, file, offset, length, sha256, replica_sha256, status.
 
     Status is intact, damaged, moved (the same bytes at another place in the
     file, after a record of another length or one that is missing), missing
     (in the replica) or extra. An extra record has its file and offset in the
-    replica by itself, and doesn't move others. Only records that the trees show to
-    differ, or that the primary doesn't have, are other than intact. Empty
-    tables give an empty result; columns beside page_id, url and html don't
+    replica by itself, and doesn't move others. Only records in leaves that
+    the trees show to differ, and those behind them in their file, are other
+    than intact. Empty tables give an empty result; a null page_id, repeated
+    rows, very long pages (records are hashed whole) and line ends in urls
+    are records like others; columns beside page_id, url and html don't
     matter.
     """
     ours, theirs = _ordered(primary, "records"), _ordered(replica, "replica")
-    pairs = _shared.settle(_pairs(ours, theirs), "pairs")
-    known = theirs.withColumnRenamed("n", "m").join(pairs, "m").drop("m")
-    a, b = _leaves(ours), _leaves(known)
-    found = differing(tree(a), tree(b)).withColumn("differs", F.lit(True))
-    sides = a.join(b.select("n", F.col("sha256").alias("replica_sha256")), "n", "left").join(found, "n", "left")
-    status = F.when(F.col("differs").isNull(), "intact").when(F.col("replica_sha256").isNull(), "missing").when(F.col("sha256") == F.col("replica_sha256"), "moved").otherwise("damaged")
+    suspects, others = (_shared.settle(x, "suspects") for x in suspect_records(ours, theirs))
+    pairs = _shared.settle(_pairs(suspects, others), "pairs")
+    matched = pairs.join(others.select(F.col("n").alias("m"), F.col("length").alias("their_length"), F.col("sha256").alias("their_sha256")), "m").drop("m")
+    seen = _shared.settle(suspects.select("n").join(matched, "n", "left").withColumn("suspect", F.lit(True)), "seen")
+    sides = _placed(ours).join(seen, "n", "left")
+    theirs_here = F.when(F.col("suspect"), F.coalesce("their_length", F.lit(0))).otherwise(F.col("length"))
+    before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # one file's records at most
+    sides = sides.withColumns({"there": F.coalesce(F.sum(theirs_here).over(before), F.lit(0)), "replica_sha256": F.when(F.col("suspect"), F.col("their_sha256")).otherwise(F.col("sha256"))})
+    status = F.when(F.col("replica_sha256").isNull(), "missing").when(F.col("sha256") != F.col("replica_sha256"), "damaged").when(F.col("offset") != F.col("there"), "moved").otherwise("intact")
     names = ["page_id", "file", "offset", "length"]
-    extra = _placed(theirs).join(pairs.select(F.col("m").alias("n")), "n", "left_anti")
+    gained = others.select("n").join(pairs.select(F.col("m").alias("n")), "n", "left_anti")
+    extra = _placed(theirs).join(gained, "n", "left_semi")
     added = extra.select(*names, F.lit(None).cast("string").alias("sha256"), F.col("sha256").alias("replica_sha256"), F.lit("extra").alias("status"))
     return sides.select(*names, "sha256", "replica_sha256", status.alias("status")).unionByName(added)
 
@@ -192,7 +219,7 @@ def op7_warc_fixity(spark, sf_dir: str) -> DataFrame:
 def _sql_record(html: str) -> str:
     body = f"coalesce({html}, '')"
     return (
-        "'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || "
+        "'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>' || e || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || e || "
         f"'WARC-Date: {DATE}' || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen({body})::VARCHAR || e || e || {body} || e || e"
     )
 

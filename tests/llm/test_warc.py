@@ -59,3 +59,32 @@ def test_lost_record_among_equal_ids(spark):
     for gone in (0, 4, 6):
         status = sorted((r.page_id, r.status) for r in warc.audit(frame(spark, pages), frame(spark, pages[:gone] + pages[gone + 1 :])).where("status NOT IN ('intact', 'moved')").collect())
         assert status == [(pages[gone][0], "missing")]
+
+
+def test_only_records_below_differing_nodes_are_compared(spark):
+    pages = [(i, f"http://x/{i}", f"<p>page {i}</p>") for i in range(6000)]
+    lost, hurt, gained = pages[1000], pages[3000], (90_000, "new", "new")
+    other = [(i, u, "#" + h if i == hurt[0] else h) for i, u, h in pages if i != lost[0]] + [gained]
+    ours, theirs = warc._ordered(frame(spark, pages), "a"), warc._ordered(frame(spark, other), "b")
+    a, b = (x.collect() for x in warc.suspect_records(ours, theirs))
+    assert len(a) == 2 * warc.BUCKET and len(b) == 2 * warc.BUCKET - 1 + 1
+    assert {r.page_id // warc.BUCKET for r in a} == {1000 // warc.BUCKET, 3000 // warc.BUCKET}
+    same = warc.suspect_records(ours, warc._ordered(frame(spark, pages[::-1]), "c"))
+    assert [x.count() for x in same] == [0, 0]
+    found = {r.page_id: r.status for r in warc.audit(frame(spark, pages), frame(spark, other)).collect()}
+    assert {i: s for i, s in found.items() if s not in ("intact", "moved")} == {1000: "missing", 3000: "damaged", 90_000: "extra"}
+
+
+def test_line_ends_in_urls_and_negative_ids(spark, tmp_path):
+    pages = [(-5, "http://x/\r\n\r\nContent-Length: 3", "body"), (-300, "a\nb", "x"), (1 << 40, "u", "y")]
+    warc.write_warc(frame(spark, pages), f"{tmp_path}/w")
+    back = {r.page_id: (r.url, r.html) for r in warc.read_warc(spark, f"{tmp_path}/w").collect()}
+    assert back == {-5: ("http://x/%0D%0A%0D%0AContent-Length: 3", "body"), -300: ("a%0Ab", "x"), 1 << 40: ("u", "y")}
+    found = {r.page_id: r.status for r in warc.audit(frame(spark, pages), frame(spark, pages[:2])).collect()}
+    assert found == {-5: "intact", -300: "intact", 1 << 40: "missing"}
+
+
+def test_many_records_of_one_page(spark):
+    pages = [(7, "u", str(i % 400)) for i in range(1500)] + [(None, "u", str(i)) for i in range(400)]
+    found = warc.audit(frame(spark, pages), frame(spark, pages[1:] + [(7, "u", "new")])).where("status NOT IN ('intact', 'moved')").collect()
+    assert [(r.page_id, r.status) for r in found] == [(7, "damaged")]  # matched by rank with the one that came in its place
