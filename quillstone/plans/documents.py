@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import answer, evaluation, extract, fulltext, grounded, retrieve, trust
+from quillstone.operators import answer, contain, evaluation, extract, fulltext, grounded, retrieve, trust
 from quillstone.plans.relational import query, read, spread
 from quillstone.sources import parse
 
@@ -308,6 +308,16 @@ def _rank_benchmark(method):
 q_rank_lexical, q_rank_dense, q_rank_hybrid, q_rank_hybrid_rerank = map(_rank_benchmark, retrieve.METHODS)
 
 
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> '') AS parts FROM documents),
+pg AS (SELECT doc_id, i::INTEGER AS page, parts[i] AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p))
+SELECT item_id AS question_id, doc_id AS document_id, page FROM benchmark b JOIN pg ON contains(pg.text, b.text)""")
+def r_contained_passages(spark, d):
+    """Every page of every document with each benchmark passage it holds word for word."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    pages = parse.text_pages(_documents(spark, d)).select("document_id", F.col("page").cast("int").alias("page"), "text")
+    return contain.holding(pages, asked, ["document_id", "page"])
+
+
 _SQL_PLACED = lambda table, key, text: f"""SELECT {key}, place, coalesce({_SQL_MAP}[s], s) AS word FROM (SELECT {key}, place, {_SQL_STEM} AS s FROM (SELECT {key}, i AS place, l[i] AS t FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {key}, {_TOKENS.replace('text', text)} AS l FROM {table}))) WHERE t NOT IN ({_SQL_STOP}))"""
 
 
@@ -356,7 +366,7 @@ def v_evaluation(spark, d):
     chunks, asked = _passages(spark, d, False)
     ranked = retrieve.rank(asked, chunks, "lexical")
     pages = parse.text_pages(_documents(spark, d)).select(F.col("document_id").cast("string").alias("document_id"), F.col("page").cast("int").alias("page"), "text")
-    held = pages.join(F.broadcast(asked), F.contains(F.col("text"), F.col("question")))  # a stated set of passages
+    held = contain.holding(pages, asked, ["document_id", "page"]).join(F.broadcast(asked), "question_id")
     gold = held.groupBy("question_id").agg(F.collect_list(F.struct("document_id", "page", F.col("question").alias("excerpt"))).alias("expected_citations"))
     wanted = F.array_join(F.slice(F.split(T.normalize(F.col("question")), " "), 1, 3), " ")
     cases = asked.join(gold, "question_id", "left").select(F.col("question_id").alias("id"), F.when(F.col("expected_citations").isNotNull(), "answerable").otherwise("unanswerable").alias("kind"), F.when(F.col("expected_citations").isNotNull(), wanted).alias("expected_answer"), "expected_citations")
