@@ -32,6 +32,30 @@ def m_rate_limit(spark, d):
     return rate_limit.limit_requests(requests, 3, 3_600_000_000)
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id % 8 AS shard, user_id, event_id, epoch_us(ts) AS m, row_number() OVER (PARTITION BY user_id % 8 ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r AS (SELECT shard, user_id, event_id, n, [{'c': user_id, 'log': [m]}] AS known, true AS admitted, 0::BIGINT AS retry_after FROM o WHERE n = 1
+UNION ALL SELECT shard, user_id, event_id, n, list_append(list_filter(kept, lambda k: k.c <> user_id), {'c': user_id, 'log': CASE WHEN len(log) < 2 THEN list_append(log, m) ELSE log END}), len(log) < 2,
+CASE WHEN len(log) < 2 THEN 0 ELSE greatest(1, ceil((log[1] + 86400000000 - m) / 1000000.0)) END::BIGINT
+FROM (SELECT o.*, CASE WHEN len(list_filter(r.known, lambda k: k.c = o.user_id)) = 0 AND len(r.known) >= 4
+THEN list_filter(r.known, lambda k: k.c <> list_sort(list_transform(r.known, lambda j: {'last': j.log[-1], 'c': j.c}))[1].c) ELSE r.known END AS kept,
+coalesce(list_filter(list_filter(r.known, lambda k: k.c = o.user_id)[1].log, lambda t: t > o.m - 86400000000), []) AS log FROM r JOIN o ON o.shard = r.shard AND o.n = r.n + 1))
+SELECT user_id AS client, event_id AS request_id, admitted, retry_after FROM r""")
+def m_rate_limit_bounded(spark, d):
+    """Which events a limiter of two a user and day admits that remembers 32 users, by a stream with state run to its end."""
+    folder = scratch(spark, "bounded")
+    requests = read(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    requests.write.parquet(f"{folder}/requests")
+    stream = spark.readStream.schema(requests.schema).parquet(f"{folder}/requests")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rate_limit.ROCKSDB)
+    try:
+        limited = rate_limit.limit_stream_bounded(stream, 2, 86_400_000_000, clients=32, shards=8, shard=F.col("client") % 8, expire=False)
+        limited.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(limited.schema).parquet(f"{folder}/out")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def m_windowed_counts(spark, d):
     """Daily counts of events by a stream with a watermark, run to its end."""

@@ -53,3 +53,36 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     stream = rate_limit.limit_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 5, 1_000_000, expire=False)
     stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
     assert {r.request_id: r.admitted for r in spark.table("limited").collect()} == found
+
+
+def bounded(rows, limit, window, most):
+    known, out = {}, {}
+    for client, request, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        if client not in known and len(known) >= most:
+            del known[min(known, key=lambda c: (known[c][-1], c))]
+        log = known.setdefault(client, [])
+        log[:] = [t for t in log if t > at - window]
+        out[request] = len(log) < limit
+        if out[request]:
+            log.append(at)
+    return out, known
+
+
+def test_bounded_limiter_forgets_who_came_least_lately(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("abcdefgh"), i, 100_000 * i + rng.randrange(1000)) for i in range(120)]
+    schema = "client string, request_id long, micros long"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rate_limit.ROCKSDB)
+    try:
+        for part in (rows[:70], rows[70:]):  # two runs over one state
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = rate_limit.limit_stream_bounded(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 2, 3_000_000, clients=3, shards=1, expire=False)
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        expected, known = bounded(rows, 2, 3_000_000, 3)
+        assert {r.request_id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect()} == expected
+        state = spark.read.format("statestore").option("stateVarName", "log").load(f"{tmp_path}/c")
+        assert {r.c: r.m for r in state.select(F.col("user_map_key.client").alias("c"), F.col("user_map_value.micros").alias("m")).collect()} == known
+        assert state.count() == 3
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
