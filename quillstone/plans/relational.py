@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
 from quillstone.functions import text as T
-from quillstone.operators import evaluate, service
-from quillstone.sources.tables import scratch
+from quillstone.operators import evaluate, ivf, service
+from quillstone.sources.tables import scratch, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -329,6 +329,16 @@ def t_rerank_window(spark, d):
     return window.withColumn("place", again.cast("long")).where("place <= 5").select("o_orderpriority", "place", "o_orderkey")
 
 
+@query()
+def t_knn_ivf(spark, d):
+    """About the 20 nearest by cosine of every twentieth vector, by inverted lists over all vectors."""
+    units = settle(ivf.usable(read(spark, d, "embeddings")), "units")
+    centroids = ivf.train(units)
+    index = settle(ivf.build(units, centroids), "lists")
+    queries = units.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return ivf.search(queries, index, units, centroids)
+
+
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 def t_newest_events(spark, d):
     """The newest 200 events."""
