@@ -175,7 +175,9 @@ def evaluate_manifest(corpus: DataFrame, manifest: DataFrame, split: str, bundle
     pages = datasets.pages_of(corpus)
     names = pages.select("document_id", F.col("filename").alias("document_name")).distinct()
     blocks = pages.select("document_id", F.col("page").cast("int").alias("page"), F.lit(0).alias("block"), F.lit(None).cast("string").alias("section"), "text")
-    chunks, _ = parse.document_chunks(blocks)
+    chunks, errors = parse.document_chunks(blocks)
+    if failed := [r["document_id"] for r in errors.limit(5).collect()]:
+        raise ValueError(f"documents with too many chunks: {', '.join(map(str, failed))}")
     chunks = providers.with_vectors(chunks.join(names, "document_id"), bundle.embedder)
     cases = datasets.cases_of(manifest).where(F.col("split") == split)
     asked = cases.select(F.col("id").alias("question_id"), "question", "document_ids")

@@ -158,7 +158,9 @@ def may_instruct(folded: Column, product: str | None = None) -> Column:
 def untrusted(text: Column, product: str | None = None) -> Column:
     """Whether a document's text gives instructions to whoever reads it, rather than states facts."""
     folded = strong_fold(F.coalesce(text, F.lit("")))
-    return F.when(may_instruct(folded, product), instructs(folded, product)).otherwise(False)
+    # As an element of an array the text is folded once, however many patterns look at it.
+    told = F.transform(F.array(folded), lambda t: F.when(may_instruct(t, product), instructs(t, product)).otherwise(False))
+    return F.get(told, F.lit(0))
 
 
 def iso_date(text: Column) -> Column:
