@@ -67,7 +67,7 @@ def with_buckets(named: DataFrame) -> DataFrame:
     Code points come in a projection of their own, so that they are computed once.
     """
     marked = {"_h": F.concat(F.lit("^"), "host", F.lit("^")), "_p": F.concat(F.lit("$"), "path", F.lit("$"))}
-    codes = {c: F.transform(F.sequence(F.lit(1), F.length(text)), _code_at(text)) for c, text in marked.items()}
+    codes = {c: F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("long")) for c, text in marked.items()}
     out = named.withColumns(codes)
     grams = []
     for c in codes:
@@ -77,10 +77,6 @@ def with_buckets(named: DataFrame) -> DataFrame:
     return out.withColumn("buckets", F.concat(*grams)).drop(*codes)
 
 
-def _code_at(text: Column):
-    return lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long")
-
-
 def _gram_hash(codes: Column, size: int):
     return lambda i: _poly([F.get(codes, i + j) for j in range(size)])
 

@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -59,3 +61,27 @@ def test_words_that_were_held_out(spark):
         test = [(f"https://{w}.example.com/en/5", int(w in url_filter._BLOCKED_WORDS)) for w in sorted(out)]
         shares.append(accuracy(spark, url_filter.train(spark, known), test))
     assert np.mean(shares) >= 0.55, shares  # 0.61, where half are of either class
+
+
+def test_very_long_urls_and_repeated_rows(spark):
+    long = "http://example.org/" + "päge/😀" * 20_000
+    rows = [(1, long), (1, long), (2, "http://x.net/a"), (2, "http://x.net/a"), (3, None), (None, "http://x.net/a")]
+    began = time.perf_counter()
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert time.perf_counter() - began < 60 and len(out) == 6  # 140 000 characters; square time would take minutes
+    assert [r.path for r in out if r.page_id == 1] == [long[len("http://example.org") :]] * 2
+    assert [r.rule for r in out if r.page_id == 2] == ["net/"] * 2
+
+
+def test_codes_are_code_points(spark):
+    row = url_filter.with_buckets(spark.createDataFrame([("a😀", "é")], "host string, path string")).first()
+    spelled = [[ord(c) for c in "^a😀^"], [ord(c) for c in "$é$"]]
+    expected = []
+    for codes in spelled:
+        for size in url_filter.SIZES:
+            for i in range(len(codes) - size + 1):
+                value = size
+                for c in codes[i : i + size]:
+                    value = value * url_filter._MULTIPLIER + c
+                expected.append(value % url_filter.BUCKETS)
+    assert sorted(row.buckets) == sorted(expected)
