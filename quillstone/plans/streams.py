@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.plans.relational import query, read, scratch
-from quillstone.streaming import ingest, rate_limit
+from quillstone.streaming import ingest, metrics, rate_limit
 
 
 @query("""SELECT min(doc_id::VARCHAR) AS document_id, source AS dossier_id, sha256(text) AS digest, 'completed' AS status FROM documents GROUP BY source, sha256(text)""")
@@ -70,3 +70,22 @@ def m_windowed_counts(spark, d):
 
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+_SQL_BOUNDS = ", ".join("'infinity'::DOUBLE" if b == float("inf") else f"{b}::DOUBLE" for b in metrics.BOUNDS)
+
+
+@query(f"""WITH e AS (SELECT event_type, user_id % 3 AS r, event_id % 4 AS batch, value / 20 AS s FROM events), b AS (SELECT unnest([{_SQL_BOUNDS}]) AS bound),
+h AS (SELECT 'search_duration_seconds_bucket' AS metric, event_type, r, bound, count(*) FILTER (s <= bound)::DOUBLE AS value FROM e, b GROUP BY ALL
+UNION ALL SELECT 'search_duration_seconds_count', event_type, r, NULL, count(*)::DOUBLE FROM e GROUP BY ALL
+UNION ALL SELECT 'search_duration_seconds_sum', event_type, r, NULL, sum(s) FROM e GROUP BY ALL)
+SELECT metric, event_type AS mode, r::VARCHAR AS result, CASE WHEN bound = 'infinity'::DOUBLE THEN -1 ELSE bound END AS bound, round(value, 4) AS value FROM h
+UNION ALL SELECT 'document_tasks_total', NULL, event_type, NULL, count(*)::DOUBLE FROM e GROUP BY 3""")
+def m_metrics(spark, d):
+    """Events as searches of a mode and a result: histograms of four batches, added, and a counter."""
+    events = read(spark, d, "events").select(F.col("event_type").alias("mode"), (F.col("user_id") % 3).alias("result"), (F.col("value") / 20).alias("seconds"), F.col("event_id").alias("id"))
+    batches = [metrics.histogram(events.where(F.col("id") % 4 == i), "search_duration_seconds") for i in range(4)]
+    tasks = metrics.counter(events.select(F.col("mode").alias("result")), "document_tasks_total")
+    rows = metrics.merged(*batches, tasks)
+    bound = F.when(F.col("bound") == float("inf"), -1.0).otherwise(F.col("bound"))
+    return rows.select("metric", F.try_element_at("labels", F.lit("mode")).alias("mode"), F.try_element_at("labels", F.lit("result")).alias("result"), bound.alias("bound"), F.round("value", 4).alias("value"))
