@@ -11,6 +11,11 @@ CASES = f"dataset_version string, parameters_version string, mode string, seed l
 KINDS = ("answerable", "unanswerable", "ambiguous", "adversarial")
 SPLITS = ("development", "holdout")
 MIN_WORDS = 1
+# Modes and field names that datasets hold.
+MODES = ("extractive-local", "extractive-local-onnx", "grounded-local-v3")
+SCALAR_FIELDS = ("organization_name", "document_type", "effective_date", "renewal_date")
+LIST_FIELDS = ("important_amounts", "obligations", "responsible_people", "risks")
+TARGETS = f"array<struct<document_id:string,split:string,fields:array<struct<field:string,expected:array<string>,citations:array<{CITATION}>>>>>"
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -70,12 +75,66 @@ def violations(corpus: DataFrame, cases: DataFrame) -> DataFrame:
         rule("excerpt_not_on_page", held.where("on_page IS NOT NULL"), ~F.contains("on_page", "excerpt")),
         rule("splits_overlap", rows.where("split = 'development'").select("question").intersect(rows.where("split = 'holdout'").select("question")), None, "question"),
     ]
+    rules += [
+        rule("no_documents", corpus, F.coalesce(F.size("documents"), F.lit(0)) < 1, "dataset_version"),
+        rule("blank_document_id", documents, F.coalesce(F.trim("id"), F.lit("")) == ""),
+        rule("blank_case_id", rows, F.coalesce(F.trim("id"), F.lit("")) == ""),
+        rule("answer_blank", rows.where("kind = 'answerable' AND expected_answer IS NOT NULL"), F.trim("expected_answer") == ""),
+        rule("scope_with_blank", rows.where("document_ids IS NOT NULL"), F.exists("document_ids", lambda x: F.coalesce(F.trim(x), F.lit("")) == "")),
+        rule("citation_without_document", cited, F.coalesce(F.trim("document_id"), F.lit("")) == ""),
+        rule("citation_document_unknown", cited.where("document_id IS NOT NULL").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti")),
+        rule("citation_without_excerpt", held.where("on_page IS NOT NULL"), F.coalesce(F.col("excerpt"), F.lit("")) == ""),
+    ]
+    if "extraction_targets" in cases.columns:
+        rules += [rule(name, frame, None, "document_id") for name, frame in _target_violations(cases, documents, pages).items()]
     out = rules[0]
     for more in rules[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
+def _target_violations(cases: DataFrame, documents: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+    """Rows (document_id) that break a rule on what is to be extracted, by rule."""
+    targets = cases.select(F.explode("extraction_targets").alias("t")).select("t.document_id", "t.split", F.col("t.fields").alias("fields"))
+    fields = targets.select("document_id", F.explode("fields").alias("f")).select("document_id", "f.field", "f.expected", "f.citations")
+    wanted, given = F.coalesce(F.size("expected"), F.lit(0)), F.coalesce(F.size("citations"), F.lit(0))
+    cited = fields.where(wanted > 0).select("document_id", F.explode("citations").alias("c")).select("document_id", F.coalesce("c.document_id", "document_id").alias("cited"), "c.page", "c.excerpt")
+    own = cited.where("cited = document_id").join(pages.select("document_id", "page", F.col("text").alias("on_page")), ["document_id", "page"], "left")
+    return {
+        "target_without_document": targets.where(F.coalesce(F.trim("document_id"), F.lit("")) == ""),
+        "target_document_unknown": targets.where("document_id IS NOT NULL").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti"),
+        "target_split_unknown": targets.where(~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))),
+        "target_without_fields": targets.where("fields IS NULL"),
+        "target_field_unknown": fields.where(~F.coalesce(F.col("field").isin(*SCALAR_FIELDS, *LIST_FIELDS), F.lit(False))),
+        "target_values_of_scalar": fields.where(F.col("field").isin(*SCALAR_FIELDS) & (wanted > 1)),
+        "target_value_blank": fields.where(F.exists("expected", lambda x: F.coalesce(F.trim(x), F.lit("")) == "")),
+        "target_field_twice": fields.groupBy("document_id", "field").count().where("count > 1"),
+        "target_citations_differ_from_values": fields.where(wanted != given),
+        "target_cites_another_document": cited.where("cited <> document_id"),
+        "target_page_unknown": own.where("on_page IS NULL"),
+        "target_excerpt_not_on_page": own.where("on_page IS NOT NULL").where(~F.coalesce(F.contains("on_page", "excerpt"), F.lit(False))),
+    }
+
+
+def manifest_errors(cases: DataFrame) -> DataFrame:
+    """(rule, id) of a manifest whose head doesn't say what an evaluation has to know; id is its version."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    checks = {
+        "version_missing": blank("dataset_version"), "parameters_missing": blank("parameters_version"), "unknown_mode": ~F.coalesce(F.col("mode").isin(*MODES), F.lit(False)),
+        "seed_missing": F.col("seed").isNull(), "cases_missing": F.col("cases").isNull(),
+    }
+    named = F.filter(F.array(*(F.when(broken, F.lit(name)) for name, broken in checks.items())), lambda x: x.isNotNull())
+    return cases.select(F.explode(named).alias("rule"), F.coalesce("dataset_version", F.lit("")).alias("id"))
+
+
+def case_counts(cases: DataFrame) -> DataFrame:
+    """kind, split and how many cases there are of both, combinations without any included."""
+    spark = cases.sparkSession
+    domain = spark.createDataFrame([(k, s) for k in KINDS for s in SPLITS], "kind string, split string")
+    counts = cases_of(cases).groupBy("kind", "split").agg(F.count("*").alias("cases"))
+    return domain.join(counts, ["kind", "split"], "left").na.fill({"cases": 0})
+
+
 def newest_runs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Of stored evaluation results the newest of each dataset, parameters and split, with the file it is in."""
     runs = spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("path", F.col("_metadata.file_path")).where("schema_version = 'evaluation-result-v1'")

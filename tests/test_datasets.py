@@ -32,3 +32,28 @@ def test_manifests_and_runs(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"schema_version": "other"}))
     runs = D.newest_runs(spark, str(tmp_path), "schema_version string, dataset_version string, parameters_version string, split string, created_at string")
     assert [r.created_at for r in runs.collect()] == ["2026-01-02"]
+
+
+def test_rules_on_ids_citations_and_targets(spark):
+    corpus = spark.createDataFrame([("1", True, "x", [(" ", "a.txt", ["x"], None, None, None), ("d", "d.txt", ["Fee: EUR 5", "Date: 2026-01-01"], None, None, None)]), ("2", True, "x", [])], D.CORPUS)
+    cite = lambda page, text, document="d": (document, page, text)
+    rows = [
+        ("", "development", "answerable", "q", " ", ["d", " "], [cite(1, "Fee"), (None, 1, "x"), cite(1, ""), cite(1, "x", "gone")]),
+    ]
+    target = lambda document, split, *fields: (document, split, list(fields))
+    targets = [
+        target("d", "development", ("renewal_date", ["2026-01-01"], [cite(2, "2026-01-01", None)]), ("important_amounts", ["EUR 5"], [cite(1, "EUR 6")])),
+        target("gone", "other", ("colour", ["x", "y"], [cite(1, "x", "d")])),
+        target("d", "holdout", ("document_type", ["a", " "], [cite(9, "a"), cite(1, "a")])),
+        (None, "holdout", None),
+    ]
+    cases = spark.createDataFrame([("1", "p", "m", None, rows, targets)], f"{D.CASES}, extraction_targets {D.TARGETS}")
+    found = {r.rule for r in D.violations(corpus, cases).collect()}
+    new = {
+        "no_documents", "blank_document_id", "blank_case_id", "answer_blank", "scope_with_blank", "citation_without_document", "citation_document_unknown", "citation_without_excerpt",
+        "target_without_document", "target_document_unknown", "target_split_unknown", "target_without_fields", "target_field_unknown", "target_values_of_scalar", "target_value_blank",
+        "target_citations_differ_from_values", "target_cites_another_document", "target_page_unknown", "target_excerpt_not_on_page",
+    }
+    assert new <= found and "target_field_twice" not in found
+    assert {(r.rule, r.id) for r in D.manifest_errors(cases).collect()} == {("unknown_mode", "1"), ("seed_missing", "1")}
+    assert {(r.kind, r.split): r.cases for r in D.case_counts(cases).collect() if r.cases} == {("answerable", "development"): 1}
