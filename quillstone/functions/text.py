@@ -163,6 +163,28 @@ def untrusted(text: Column, product: str | None = None) -> Column:
     return F.get(told, F.lit(0))
 
 
+def zoned_time(text: Column) -> Column:
+    """A struct of the instant that an ISO time stamp names, and what is wrong if it names none: missing, invalid, or no_timezone."""
+    shape = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+    zoned = text.rlike(r"[T ].*(?:Z|[+-]\d{2}(?::?\d{2})?)$")
+    # The parts that may be left out are spelled out: seconds, and minutes of the offset.
+    full = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"([T ]\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00"), r"([T ]\d{2})(?=Z|[+-]|$)", "$1:00:00")
+    full = F.regexp_replace(F.regexp_replace(full, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
+    at = F.when(text.rlike(shape), F.try_to_timestamp(full))
+    error = F.when(text.isNull(), "missing").when(at.isNull(), "invalid").when(~zoned, "no_timezone")
+    return F.struct(F.when(error.isNull(), at).alias("at"), error.alias("error"))
+
+
+def same_question(text: Column) -> Column:
+    """A question as it is compared with others: in lower case and without the word, or the number of a list, that it begins with."""
+    return strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[a-z0-9]+[.:\- )]*", ""))
+
+
+def source_path(filename: Column, path: Column, generated: str = "datasets/generated") -> Column:
+    """Where a corpus document's file is: PDF files are generated, others are where the manifest says."""
+    return F.when(filename.endswith(".pdf"), F.concat(F.lit(f"{generated}/"), filename)).otherwise(path)
+
+
 def iso_date(text: Column) -> Column:
     """YYYY-MM-DD from ISO, DD/MM/YYYY and English and French names; else the normalised text. No calendar check."""
     raw, folded = strip(text), normalize(text)

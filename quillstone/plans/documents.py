@@ -107,6 +107,23 @@ def x_date_norm(spark, d):
     return read(spark, d, "orders").select("o_orderkey", T.iso_date(raw).alias("iso"))
 
 
+@query("""SELECT event_id, CASE event_id % 5 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE epoch_us(date_trunc('second', ts)) - CASE event_id % 5 WHEN 1 THEN 7200000000 WHEN 2 THEN -19800000000 ELSE 0 END END AS micros,
+CASE event_id % 5 WHEN 3 THEN 'no_timezone' WHEN 4 THEN 'invalid' END AS error FROM events""")
+def x_zoned_time(spark, d):
+    """Events' times, written with Z, with two offsets, without a zone and with a month too many, as instants."""
+    local = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    way = F.col("event_id") % 5
+    written = F.when(way == 0, F.concat(local, F.lit("Z"))).when(way == 1, F.concat(local, F.lit("+02:00"))).when(way == 2, F.concat(local, F.lit("-0530"))).when(way == 3, local).otherwise(F.concat(F.substring(local, 1, 5), F.lit("13"), F.substring(local, 8, 20), F.lit("Z")))
+    read_as = read(spark, d, "events").select("event_id", T.zoned_time(written).alias("t"))
+    return read_as.select("event_id", F.unix_micros("t.at").alias("micros"), "t.error")
+
+
+@query("""SELECT trim(regexp_replace(lower(text), '^[a-z0-9]+[.:\\- )]*', ''), E' \\t\\n\\r') AS question, count(*) AS cases, min(item_id) AS first FROM benchmark GROUP BY 1""")
+def x_same_question(spark, d):
+    """Passages that are one question but for the word or number they begin with."""
+    return read(spark, d, "benchmark").groupBy(T.same_question(F.col("text")).alias("question")).agg(F.count("*").alias("cases"), F.min("item_id").alias("first"))
+
+
 @query("""WITH c AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
 SELECT o_orderkey, ['EUR', 'EUR', 'USD', 'GBP', ''][1 + o_orderkey % 5] || ':' || cents // 100 || CASE WHEN cents % 100 = 0 THEN '' ELSE '.' || rtrim(lpad((cents % 100)::VARCHAR, 2, '0'), '0') END AS money FROM c""")
 def x_money_norm(spark, d):

@@ -76,3 +76,19 @@ def test_names_and_vectors(spark):
     frame = spark.createDataFrame([("Renewal date",), ("",)], "t string").select(V.hash_embedding(384)("t").alias("v"))
     rows = frame.select(V.norm(F.col("v")).alias("n"), F.size("v").alias("d")).collect()
     assert [r.d for r in rows] == [384, 384] and abs(rows[0].n - 1) < 1e-9 and rows[1].n == 0
+
+
+def test_time_stamps_must_have_a_zone(spark):
+    rows = [
+        ("2026-01-02T03:04:05Z", "2026-01-02 03:04:05", None), ("2026-01-02 03:04:05.25+02:00", "2026-01-02 01:04:05.250000", None), ("2026-01-02T03:04-0530", "2026-01-02 08:34:00", None), ("2026-01-02T03:04:05+02", "2026-01-02 01:04:05", None),
+        ("2026-01-02T03:04:05", None, "no_timezone"), ("2026-01-02", None, "no_timezone"), ("2026-13-02T03:04:05Z", None, "invalid"), ("yesterday", None, "invalid"), ("", None, "invalid"), (None, None, "missing"),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "i int, t string")
+    found = {r.i: r.z for r in frame.select("i", T.zoned_time(F.col("t")).alias("z")).collect()}
+    for i, (text, at, error) in enumerate(rows):
+        assert (found[i].error, found[i].at and str(found[i].at)) == (error, at), text
+
+
+def test_same_questions_and_source_paths(spark):
+    frame = spark.createDataFrame([("1) What is it?", "a.pdf", None), ("2. what is it? ", "b.md", "x/b.md"), (None, "c.txt", "y")], "q string, f string, p string")
+    assert [tuple(r) for r in frame.select(T.same_question(F.col("q")), T.source_path(F.col("f"), F.col("p"))).collect()] == [("what is it?", "datasets/generated/a.pdf"), ("what is it?", "x/b.md"), ("", "y")]
