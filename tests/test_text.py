@@ -24,6 +24,14 @@ def test_tokens_segments_sentences(spark):
     assert one(spark, "a. b\nc! d", T.sentences) == ["a.", "b", "c!", "d"]
 
 
+def test_redaction_ends_words_at_combining_marks(spark):
+    # A mark is no part of a word: not for the SQL of x_redact, nor for Python's patterns.
+    r = one(spark, "%1234567890\u0301, \u03011234567890 and a@b.co\u0301 or SYN-ID-4829\u0301", T.redact)
+    assert r.text == "%[PHONE REDACTED]\u0301, \u0301[PHONE REDACTED] and [EMAIL REDACTED]\u0301 or [IDENTIFIER REDACTED]\u0301"
+    assert r.counts == {"email": 1, "phone": 2, "identifier": 1}
+    assert one(spark, None, T.redact).text is None
+
+
 def test_redaction(spark):
     r = one(spark, "Contact Mina Example at mina@example.test or +32 470 12 34 56. Reference SYN-ID-4829.", T.redact)
     assert r.text == "Contact Mina Example at [EMAIL REDACTED] or [PHONE REDACTED]. Reference [IDENTIFIER REDACTED]."
