@@ -47,20 +47,15 @@ def document_features(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
     none = F.array().cast("array<string>")
     lines = F.filter(F.split("text", r"\r\n|[\n\r]"), lambda x: T.strip(x).rlike(f"(?iu){P.IDENTITY_LINE}"))
     vectors = [c for c in ("embedding", "embedding_model_id") if c in chunks.columns]
-    words = chunks.select("document_id", "document_name", "chunk_id", *vectors, T.lexical_tokens(F.col("text")).alias("said"), lines.alias("lines"), F.when(F.col("section").isNull(), none).otherwise(T.lexical_tokens(F.col("section"))).alias("section"))
-    words = words.select("document_id", "document_name", "chunk_id", *vectors, "section", F.when(F.size("lines") == 0, none).otherwise(T.lexical_tokens(F.array_join("lines", " "))).alias("lines"), _among("said", vocabulary).alias("said"))
+    held = F.when(F.size("lines") == 0, none).otherwise(T.lexical_tokens(F.array_join("lines", " ")))
+    words = chunks.select("document_id", "document_name", "chunk_id", *vectors, T.lexical_tokens_among(F.col("text"), vocabulary).alias("said"), lines.alias("lines"), F.when(F.col("section").isNull(), none).otherwise(T.lexical_tokens(F.col("section"))).alias("section"))
+    words = words.select("document_id", "document_name", "chunk_id", *vectors, "section", held.alias("lines"), "said")
     every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     grouped = words.groupBy("document_id").agg(F.first("document_name").alias("name"), F.collect_list(F.struct("chunk_id", *vectors, "said")).alias("chunks"), every(F.array_union("said", "section")).alias("about"), every("lines").alias("lines"))
     named = grouped.withColumn("name_tokens", T.lexical_tokens(F.col("name")))
     return named.select("document_id", "chunks", F.array_union("about", "name_tokens").alias("about"), "name_tokens", F.array_union("lines", "name_tokens").alias("identity"))
 
 
-def _among(column: str, words: list[str]) -> Column:
-    """Those of an array's words that are among these. Spelled as SQL, which is parsed at once, however many words there are."""
-    listed = ", ".join("'{}'".format(w.replace("\\", "\\\\").replace("'", "\\'")) for w in words)
-    return F.expr(f"filter({column}, w -> w IN ({listed}))" if words else "array()").cast("array<string>")
-
-
 def _asked(questions: DataFrame) -> list[Row]:
     """The questions with tokens, fields, scopes and vectors, in order; a stated set of a checked size."""
     features = question_features(questions).drop("question")

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 UNIT = 100_000_000
 _CELLS = 2_000_000  # scores made at once
+#: Of fields, words, the document's words, entity and scope: with fields and a name, with fields in a scope, with fields, with a name, and else.
+WEIGHTS = ((0.40, 0.15, 0.10, 0.35, 0.0), (0.50, 0.15, 0.10, 0.0, 0.25), (0.65, 0.25, 0.10, 0.0, 0.0), (0.0, 0.55, 0.10, 0.35, 0.0), (0.0, 0.8, 0.2, 0.0, 0.0))
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -62,6 +64,9 @@ class Asked:
             at = [q for q, v in enumerate(self.vectors) if v and len(v) == length]
             self.by_length[length] = np.array(at), np.array([self.vectors[q] for q in at], float)
         self.limited = [q for q, x in enumerate(self.document_ids) if x is not None]
+        # What its fields, its words, the document's words, being named and being in scope count for each question.
+        has, distinct = self.n_fields > 0, self.distinctive
+        self.weights = np.select([has & distinct, has & self.scoped, has, distinct], [np.array([x]).T for x in WEIGHTS[:4]], np.array([WEIGHTS[4]]).T)
 
     def hits(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """How many of its tokens, and of its fields, each question shares with each list of words: lists x questions."""
@@ -122,34 +127,26 @@ def _block(asked: Asked, rows: pa.RecordBatch) -> Block:
         for q in asked.limited:
             allowed[k, q] = d in asked.document_ids[q]
     entity, in_scope, allowed = entity[back], in_scope[back], allowed[back]
-    share, document = local / asked.size, document_hits / asked.size
-    fields = np.divide(in_fields, asked.n_fields, out=np.zeros((n, width)), where=asked.n_fields > 0)
-    has, distinct = asked.n_fields > 0, asked.distinctive
-    lexical = np.select(
-        [np.broadcast_to(x, (n, width)) for x in (has & distinct, has & asked.scoped, has, distinct)],
-        [
-            0.40 * fields + 0.15 * share + 0.10 * document + 0.35 * entity,
-            0.50 * fields + 0.15 * share + 0.10 * document + 0.25 * in_scope,
-            0.65 * fields + 0.25 * share + 0.10 * document,
-            0.55 * share + 0.10 * document + 0.35 * entity,
-        ],
-        0.8 * share + 0.2 * document,
-    )
-    dense, compatible = np.zeros((n, width)), np.zeros((n, width), bool)
+    terms = np.divide(in_fields, asked.n_fields, out=np.zeros((n, width)), where=asked.n_fields > 0), local / asked.size, document_hits / asked.size, entity, in_scope
+    lexical = np.zeros((n, width))
+    for term, weight in zip(terms, asked.weights, strict=True):
+        if weight.any():
+            lexical += term * weight
+    dense, compatible = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
     if "embedding" in chunks.type.names:
         models = chunks.field("embedding_model_id").dictionary_encode()
         same = np.array([asked.by_model.get(m, np.zeros(width, bool)) for m in [*models.dictionary.to_pylist(), None]])
         compatible = same[models.indices.fill_null(len(same) - 1).to_numpy(zero_copy_only=False)]
-        vectors = chunks.field("embedding")
+        vectors, dense = chunks.field("embedding"), np.zeros((n, width))
         lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         for length, (at, theirs) in asked.by_length.items():
             having = np.flatnonzero(lengths == length)
             if len(having):
                 own = vectors.take(pa.array(having)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
                 dense[np.ix_(having, at)] = np.clip(own @ theirs.T, -1.0, 1.0)
-        dense = np.where(compatible & np.isfinite(dense), dense, 0.0)
+        dense = rounded(np.where(compatible & np.isfinite(dense), dense, 0.0))
     order = np.argsort(chunk_ids)
-    return Block(*(x[order] for x in (chunk_ids, rounded(lexical), rounded(dense), entity, compatible, allowed)))
+    return Block(*(x[order] for x in (chunk_ids, rounded(lexical), dense, entity, compatible, allowed)))
 
 
 def best(asked: Asked, batches: Iterator[pa.RecordBatch], lexical: int, dense: int, with_entities: bool) -> Iterator[pa.RecordBatch]:
@@ -163,10 +160,12 @@ def best(asked: Asked, batches: Iterator[pa.RecordBatch], lexical: int, dense: i
                 if not most:
                     continue
                 fit = block.allowed & block.compatible if which else block.allowed
-                for q in range(len(asked.question_ids)):
-                    top, own = tops.setdefault((which, q), []), scores[:, q]
-                    good = fit[:, q] & (own >= -top[-1][0]) if len(top) >= most else fit[:, q]
-                    at = np.flatnonzero(good)
+                # Only what a question's last place so far lets in is looked at one by one.
+                last = np.array([-top[-1][0] if len(top := tops.setdefault((which, q), [])) >= most else np.iinfo(np.int64).min for q in range(len(asked.question_ids))])
+                good = fit & (scores >= last)
+                for q in np.flatnonzero(good.any(0)).tolist():
+                    top, own = tops[which, q], scores[:, q]
+                    at = np.flatnonzero(good[:, q])
                     if len(at) > most:
                         at = at[np.argpartition(-own[at] * n + at, most)[:most]]
                     if len(at):
