@@ -16,6 +16,7 @@ METHODS = ("lexical", "dense", "hybrid", "hybrid_rerank")
 MAX_QUESTIONS = 10_000
 MAX_CHARS = 4_000_000  # of the words of all questions
 BLOCK_QUESTIONS = 500  # scored in one pass
+COMMON = 200  # a word that more documents hold is common
 
 
 def question_features(questions: DataFrame) -> DataFrame:
@@ -35,13 +36,13 @@ def question_intent(question: Column) -> Column:
     return out
 
 
-def document_features(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
+def document_features(chunks: DataFrame, vocabulary: list[str] | None) -> DataFrame:
     """What of the questions' words each document holds, one row a document.
 
     document_id, chunks (chunk_id, said, and vectors where there are any),
     about (words of its name, sections and texts), name_tokens, identity (what
     names it: file name and lines with an organisation's label or legal form).
-    Of the texts' words those that are asked for are kept. A row is as large as a document; chunks that are
+    Of the texts' words those that are asked for are kept; None for all. A row is as large as a document; chunks that are
     partitioned by document aren't exchanged.
     """
     none = F.array().cast("array<string>")
@@ -115,6 +116,7 @@ def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit:
     `document_ids` for a scope if they have one, are a stated set of at most
     MAX_QUESTIONS, asked in blocks; chunk_id is a key. No pair of a question and
     a chunk leaves the task that scores it unless it may be in the result.
+    More questions than that are ranked by words alone, by rank_by_words().
 
     Fused methods need a chunk's ranks among all chunks. A chunk behind the
     place 60 + 2k by both scores has a fused score below 1 / (2 (60 + k)),
@@ -126,6 +128,8 @@ def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit:
         raise ValueError(f"unknown method {method}")
     if limit < 1:
         raise ValueError("limit must be at least 1")
+    if method == "lexical" and "document_ids" not in questions.columns and questions.count() > MAX_QUESTIONS:
+        return rank_by_words(questions, chunks, limit)
     rows = _asked(questions)
     vocabulary = sorted({t for r in rows for t in r["q_tokens"]})
     features = settle(document_features(chunks, vocabulary), "features")
@@ -147,6 +151,80 @@ def rank(questions: DataFrame, chunks: DataFrame, method: str = "hybrid", limit:
     return _top(with_rerank_score(out.drop("rank")), "question_id", [F.desc("rerank_score"), F.desc("score"), "chunk_id"], limit)
 
 
+def rank_by_words(questions: DataFrame, chunks: DataFrame, limit: int = P.RETRIEVAL_LIMIT, common: int = COMMON) -> DataFrame:
+    """rank() by words for any number of questions; their table is joined, not collected.
+
+    What chunks score by common words alone is the same for all questions
+    that differ in rare words only: of these kinds of questions there are at
+    most MAX_QUESTIONS, and each has its best chunks. Documents that hold a
+    rare word of a question, or that it names, meet it by equality joins, at
+    most `common` a word, and are scored by all its words. A rare word never
+    lowers a score, so the best of both are the best of all.
+    """
+    asked = settle(question_features(questions).select("question_id", "intent", "q_tokens", "q_fields", "q_scope"), "questions")
+    features = settle(document_features(chunks, None), "features")
+    tokens = asked.select("question_id", F.explode("q_tokens").alias("token"))
+    wanted = tokens.select("token").distinct()
+    held = settle(features.select("document_id", F.explode("about").alias("token")).join(wanted, "token", "left_semi"), "held")
+    spread = held.groupBy("token").agg(F.count("*").alias("documents"))
+    naming = wanted.where((F.length("token") >= 4) & ~F.col("token").isin(*P.GENERIC_TOKENS))
+    named = features.select("document_id", F.explode("identity").alias("token")).join(naming, "token", "left_semi").groupBy("token").agg(F.min("document_id").alias("document_id"), F.max("document_id").alias("most")).where("document_id = most").drop("most")
+    entities = tokens.join(named, "token").select("question_id", "document_id").distinct()
+    counted = tokens.join(spread, "token", "left").withColumn("common", F.coalesce("documents", F.lit(0)) > common)
+    shared = counted.where("common").groupBy("question_id").agg(F.sort_array(F.collect_set("token")).alias("shared"))  # of one question
+    kind = [F.coalesce("shared", F.array().cast("array<string>")).alias("shared"), F.size("q_tokens").alias("size"), F.size("q_fields").alias("fields"), F.col("q_scope").alias("scope"), F.col("naming").isNotNull().alias("naming")]
+    kinds = asked.join(shared, "question_id", "left").join(entities.select("question_id", F.lit(True).alias("naming")).distinct(), "question_id", "left").select("question_id", F.struct(*kind).alias("kind"))
+    kinds = settle(kinds, "kinds")
+    different = [r["kind"] for r in kinds.select("kind").distinct().limit(MAX_QUESTIONS + 1).collect()]
+    if len(different) > MAX_QUESTIONS:
+        raise ValueError(f"questions of more than {MAX_QUESTIONS} kinds: ask in blocks")
+    best = []
+    for at in range(0, len(different), BLOCK_QUESTIONS):
+        own = different[at : at + BLOCK_QUESTIONS]
+        found = candidates(features, _of_kinds(own), limit, 0)
+        table = questions.sparkSession.createDataFrame([(q, k) for q, k in enumerate(own)], f"q int, kind {kinds.schema['kind'].dataType.simpleString()}")
+        best.append(found.join(F.broadcast(table), "q").select("kind", "chunk_id", "lexical"))
+    of_kind = reduce(DataFrame.unionByName, best).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    by_kind = kinds.join(of_kind, kinds["kind"].eqNullSafe(of_kind["kind"])).select("question_id", "document_id", "chunk_id", "lexical")
+    rare = counted.where("NOT common").select("question_id", "token").join(held, "token").select("question_id", "document_id")
+    pairs = rare.withColumn("entity", F.lit(0.0)).unionByName(entities.withColumn("entity", F.lit(1.0))).groupBy("question_id", "document_id").agg(F.max("entity").alias("entity"))
+    pairs = settle(pairs, "pairs")
+    met = pairs.join(asked, "question_id").join(kinds.select("question_id", F.col("kind.naming").alias("naming")), "question_id").join(features, "document_id")
+    own = met.withColumn("in_document", F.size(F.array_intersect("about", "q_tokens"))).withColumn("in_scope", F.coalesce(F.array_contains("name_tokens", F.col("q_scope")), F.lit(False)).cast("double"))
+    own = own.select("question_id", "entity", "naming", "q_tokens", "q_fields", "q_scope", "in_document", "in_scope", F.explode("chunks").alias("c")).select("*", F.col("c.chunk_id").alias("chunk_id"))
+    exact = own.select("question_id", "chunk_id", _lexical_score().alias("lexical"), "entity")
+    others = by_kind.join(pairs.select("question_id", "document_id"), ["question_id", "document_id"], "left_anti").select("question_id", "chunk_id", "lexical", F.lit(0.0).alias("entity"))
+    top = _top(exact.unionByName(others), "question_id", [F.desc("lexical"), "chunk_id"], limit)
+    score = F.col("lexical") / scoring.UNIT
+    out = top.select("question_id", "chunk_id", "rank", score.alias("score"), score.alias("lexical_score"), F.lit(0.0).alias("dense_score"), F.col("entity").alias("entity_score"))
+    texts = chunks.select("chunk_id", "document_id", "document_name", "page", "section", "text")
+    return out.join(asked.select("question_id", "intent", "q_tokens"), "question_id").join(texts, "chunk_id").withColumn("rerank_score", F.lit(None).cast("double"))
+
+
+def _of_kinds(kinds: list[Row]) -> scoring.Asked:
+    """A question for each kind: its common words, and words that no text holds in place of the rare ones."""
+    tokens, fields = [], []
+    for k in kinds:
+        none = [f"\x00{i}" for i in range(k["size"] - len(k["shared"]))]
+        own = [t for t in k["shared"] if t in P.FIELD_TOKENS]
+        tokens.append([*k["shared"], *none])
+        fields.append({*own, *none[: k["fields"] - len(own)]})
+    nothing = [None] * len(kinds)
+    return scoring.Asked(list(range(len(kinds))), tokens, fields, [k["scope"] for k in kinds], nothing, nothing, nothing, naming=[k["naming"] for k in kinds])
+
+
+def _lexical_score() -> Column:
+    """What scoring makes of a question and a chunk, as a whole number of 1e-8."""
+    has, share = F.size("q_fields") > 0, F.size(F.array_intersect("c.said", "q_tokens")) / F.greatest(F.lit(1), F.size("q_tokens"))
+    document = F.col("in_document") / F.greatest(F.lit(1), F.size("q_tokens"))
+    fields = F.when(has, F.size(F.array_intersect("c.said", "q_fields")) / F.size("q_fields")).otherwise(0.0)
+    terms = fields, share, document, F.col("entity"), F.col("in_scope")
+    cases = [sum((t * w for t, w in zip(terms[1:], weights[1:], strict=True)), terms[0] * weights[0]) for weights in scoring.WEIGHTS]
+    naming = F.col("naming")
+    score = F.when(has & naming, cases[0]).when(has & F.col("q_scope").isNotNull(), cases[1]).when(has, cases[2]).when(naming, cases[3]).otherwise(cases[4])
+    return F.floor(score * scoring.UNIT + 0.5 + 1e-7).cast("long")
+
+
 def _best_of_block(asked: scoring.Asked, features: DataFrame, method: str, most: int) -> DataFrame:
     lexical, dense = (F.col(c) / scoring.UNIT for c in ("lexical", "dense"))
     if method in ("lexical", "dense"):

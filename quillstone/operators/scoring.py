@@ -36,6 +36,7 @@ class Asked:
     vectors: list[list[float] | None]
     document_ids: list[set | None]
     named: dict[str, object] = field(default_factory=dict)  # tokens that name one document alone
+    naming: list[bool] | None = None  # questions that name a document which isn't told here
 
     def __post_init__(self):
         n = len(self.question_ids)
@@ -54,7 +55,7 @@ class Asked:
         for q, own in enumerate(self.tokens):
             for document in {self.named[t] for t in own if t in self.named}:
                 self.entities.setdefault(document, []).append(q)
-        self.distinctive = np.zeros(n, bool)
+        self.distinctive = np.array(self.naming, bool) if self.naming else np.zeros(n, bool)
         self.distinctive[[q for own in self.entities.values() for q in own]] = True
         self.scoped = np.array([s is not None for s in self.scopes], bool)
         self.by_scope = {s: np.flatnonzero([x == s for x in self.scopes]) for s in set(self.scopes) - {None}}
