@@ -36,7 +36,7 @@ def _first(text: Column, pattern: str, group: int = 0) -> Column:
 def labelled(line: Column, labels: tuple[str, ...]) -> Column:
     """What follows a label and a colon or dash; null without one."""
     names = "|".join(re.escape(x) for x in labels)
-    return _first(line, rf"^(?:{names})\s*(?::|—|-)\s*(.+?)\s*$", 1)
+    return F.when(line.rlike("[:—-]"), _first(line, rf"^(?:{names})\s*(?::|—|-)\s*(.+?)\s*$", 1))
 
 
 def _candidate(field: str, value: Column, priority: int = 0, where: Column | None = None, excerpt: Column | None = None) -> Column:
@@ -54,7 +54,8 @@ def _listed(field: str, values: Column, excerpt_is_value: bool = False) -> Colum
 
 
 def _matches(pattern: str) -> Column:
-    return F.regexp_extract_all("line", F.lit(f"(?iuU){pattern}"), F.lit(0))
+    """Amounts in a line; each has a digit, which most lines lack."""
+    return F.when(F.col("line").rlike("[0-9]"), F.regexp_extract_all("line", F.lit(f"(?iuU){pattern}"), F.lit(0))).otherwise(_none())
 
 
 def _none() -> Column:
@@ -82,7 +83,7 @@ def extract_labelled(chunks: DataFrame) -> DataFrame:
     obliges = lambda text: _has(text, P.OBLIGATION)
 
     def dates(field: str, context: str) -> Column:
-        return _candidate(field, _first(F.coalesce(label[field], line), P.EXTRACT_DATE), where=label[field].isNotNull() | _has(line, context))
+        return _candidate(field, _first(F.coalesce(label[field], line), P.EXTRACT_DATE), where=line.rlike(r"\p{Nd}") & (label[field].isNotNull() | _has(line, context)))
 
     risk_text = F.coalesce(label["risks"], line)
     implied = F.lit(False)

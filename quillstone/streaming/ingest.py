@@ -9,6 +9,7 @@ not taken again, and one that met another writer is handled anew.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,12 @@ class Ingest:
                 rows.unpersist()
 
     def _outcome(self, batch: DataFrame, base: Snapshot, held: list[DataFrame]) -> dict[str, DataFrame]:
-        """Rows to append, by table; what is held in memory for them goes to `held`."""
+        """Rows to append, by table; what is held for them goes to `held`."""
+
+        def hold(rows: DataFrame) -> DataFrame:
+            held.append(rows.persist(StorageLevel.DISK_ONLY))
+            return rows
+
         digest = F.sha2("data", 256)
         arrived = batch.withColumn("digest", digest).dropDuplicates(["document_id"])
         is_gone = F.col("gone").isNotNull() | F.coalesce("deleted", F.lit(False))
@@ -105,16 +111,16 @@ class Ingest:
         fresh = fresh.join(first.select("document_id"), "document_id", "left_semi")
         # What the dossier holds under another id, and what is completed or withdrawn, is not taken again.
         alike = self.table("status", base).join(fresh.select("digest").where("digest IS NOT NULL"), "digest", "left_semi")
-        known = self.status(base, fresh.select("document_id").unionByName(alike.select("document_id"))).persist()
+        known = hold(self.status(base, fresh.select("document_id").unionByName(alike.select("document_id"))))
         active = known.where("status IN ('completed', 'processing', 'queued')").select("dossier_id", "digest", F.col("document_id").alias("_other"))
         fresh = fresh.join(active, (fresh["dossier_id"] == active["dossier_id"]) & (fresh["digest"] == active["digest"]) & (fresh["document_id"] != active["_other"]), "left_anti")
         settled = known.where("status IN ('completed', 'deleted', 'failed')").select("document_id")
-        fresh = fresh.join(settled, "document_id", "left_anti").persist()
-        held += [known, fresh]
+        fresh = hold(fresh.join(settled, "document_id", "left_anti"))
         tried = known.select("document_id", F.col("attempts").alias("_tried"))
         readable = fresh.where("data IS NOT NULL")
-        pages, parse_errors = parse.parse(readable.select("document_id", "media_type", "data"))
-        chunks, chunk_errors = parse.document_chunks(pages)
+        pages, parse_errors = parse.parse(readable.select("document_id", "media_type", "data"), hold=hold)
+        chunks, chunk_errors = parse.document_chunks(pages, hold=hold)
+        chunks = hold(chunks)
         fields = extract.extract_labelled(chunks)
         unread = fresh.where("data IS NULL").select("document_id", F.lit("storage_unavailable").alias("error_code"))
         errors = parse_errors.unionByName(chunk_errors).unionByName(unread)
