@@ -14,16 +14,18 @@ def with_blocked(frame: DataFrame, values: str, blocked: str = "blocked", produc
     Unsafe fragments are. If the others together are unsafe, all that aren't
     blank are: an instruction may be split over lines. Fragments are only
     looked at one by one where all of them together hold a word that an
-    instruction needs; `product` is a name that instructions may address.
+    instruction needs, and held against the patterns only where they hold one
+    themselves; `product` is a name that instructions may address.
     """
     may, folded, flags, rest = "_may", "_folded", "_flags", "_rest"
     # Folded fragments joined by a space fold to the same as the joined fragments.
     out = frame.withColumn(may, T.may_instruct(T.strong_fold(F.array_join(values, "\n", "")), product))
     out = out.withColumn(folded, F.when(F.col(may), F.transform(values, lambda v: T.strong_fold(F.coalesce(v, F.lit(""))))))
-    out = out.withColumn(flags, F.transform(folded, lambda f: T.instructs(f, product)))
+    told = lambda f: F.when(T.may_instruct(f, product), T.instructs(f, product)).otherwise(False)
+    out = out.withColumn(flags, F.transform(folded, told))
     safe = F.filter(F.arrays_zip(F.col(folded).alias("f"), F.col(flags).alias("b")), lambda x: ~x["b"] & (x["f"] != ""))
     joined = F.regexp_replace(F.array_join(F.transform(safe, lambda x: x["f"]), " "), r"\bover\s+ride\b", "override")
-    out = out.withColumn(rest, T.instructs(joined, product))
+    out = out.withColumn(rest, T.let(joined, told))
     every = F.transform(values, lambda v: T.strip(v) != "")
     merged = F.when(F.col(may), F.when(F.col(rest), F.zip_with(flags, every, lambda a, b: a | b)).otherwise(F.col(flags)))
     return out.withColumn(blocked, F.coalesce(merged, F.transform(values, lambda _: F.lit(False)))).drop(may, folded, flags, rest)
