@@ -3,13 +3,14 @@
 Passages are a stated set. They become one automaton that finds all of them
 in a single pass over a text, whatever their number; no pair of a text and a
 passage that it doesn't hold is ever made. An automaton is built for at most
-so many characters; more passages are dealt to several, and every task runs
-its texts through one after another.
+so many characters; more passages are dealt to several, and a pass over the
+texts is made for each, so that a task holds one automaton and a few texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -18,18 +19,36 @@ from pyspark.sql import functions as F
 
 MAX_CHARS = 64_000_000  # of all passages, which travel with the tasks
 AUTOMATON_CHARS = 4_000_000  # of those in one automaton
+SLICE_ROWS = 100  # texts looked at together
 
 
-def _automata(passages: list[str]) -> Iterator[ahocorasick.Automaton]:
-    at = 0
-    while at < len(passages):
-        automaton, chars = ahocorasick.Automaton(), 0
-        while at < len(passages) and (not chars or chars + len(passages[at]) <= AUTOMATON_CHARS):
-            automaton.add_word(passages[at], at)
-            chars += len(passages[at])
-            at += 1
-        automaton.make_automaton()
-        yield automaton
+def _dealt(passages: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The passages in parts, one for each automaton, each with the place where it begins."""
+    begin = chars = 0
+    for at, passage in enumerate(passages):
+        if at > begin and chars + len(passage) > AUTOMATON_CHARS:
+            yield begin, passages[begin:at]
+            begin, chars = at, 0
+        chars += len(passage)
+    yield begin, passages[begin:]
+
+
+def _found(batches: Iterator[pa.RecordBatch], first: int, passages: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows without their text `t`, one for each passage that it holds, and that passage's place."""
+    automaton = ahocorasick.Automaton()
+    for at, passage in enumerate(passages, first):
+        automaton.add_word(passage, at)
+    automaton.make_automaton()
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE_ROWS):
+            part, rows, held = batch.slice(begin, SLICE_ROWS), [], []
+            for at, own in enumerate(part.column("t").to_pylist()):
+                here = sorted({i for _, i in automaton.iter(own)}) if own else []
+                rows += [at] * len(here)
+                held += here
+            if rows:
+                kept = part.drop_columns(["t"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(held, pa.int32())], schema=pa.schema([*kept.schema, pa.field("passage", pa.int32())]))
 
 
 def holding(texts: DataFrame, passages: DataFrame, keys: list[str], text: str = "text", key: str = "question_id", passage: str = "question") -> DataFrame:
@@ -46,20 +65,11 @@ def holding(texts: DataFrame, passages: DataFrame, keys: list[str], text: str =
         known.setdefault(p, []).append(k)
     spelled, names = list(known), list(known.values())
     kind = {f.name: f.dataType.simpleString() for f in (*texts.schema, *passages.schema)}
-    arrow = pa.schema([("at", pa.int32()), ("passage", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = list(_automata(spelled))
-        for batch in batches:
-            for at, own in enumerate(batch.column("t").to_pylist()):
-                found = {i for automaton in automata for _, i in automaton.iter(own)} if own else ()
-                if found:
-                    row = batch.slice(at, 1).drop_columns(["t"])
-                    for i in sorted(found):
-                        yield pa.RecordBatch.from_arrays([*row.columns, pa.array([i], pa.int32())], schema=pa.schema([*row.schema, arrow.field("passage")]))
-
     wide = texts.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), F.col(text).alias("t"))
-    out = wide.mapInArrow(run, ", ".join([f"k{i} {kind[c]}" for i, c in enumerate(keys)] + ["passage int"]))
+    ddl = ", ".join([f"k{i} {kind[c]}" for i, c in enumerate(keys)] + ["passage int"])
+    parts = _dealt(spelled) if spelled else ()
+    passes = [wide.mapInArrow(partial(_found, first=first, passages=own), ddl) for first, own in parts] or [texts.sparkSession.createDataFrame([], ddl)]
+    out = reduce(DataFrame.unionAll, passes)
     table = texts.sparkSession.createDataFrame([(i, n) for i, own in enumerate(names) for n in own], f"passage int, {key} {kind[key]}")
     named = out.join(F.broadcast(table), "passage")
     return named.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keys)), key)
