@@ -9,6 +9,8 @@ not taken again, and one that met another writer is handled anew.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,20 @@ WITHDRAWN = "document_id string"
 TABLES = {"chunks": CHUNKS, "fields": FIELDS, "status": STATUS, "withdrawn": WITHDRAWN}
 MAX_ATTEMPTS = 3
 RETRY_SECONDS = 2
+FILES = 1000  # that one batch takes at most
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a document may hold at most to be taken: settings of an engine."""
+
+    pages: int = 200
+    chars: int = 1_000_000
+    chunks: int = parse.MAX_CHUNKS
+
+
+#: No document is refused for its size: a text, and an array, have no more elements than that.
+UNLIMITED = Limits(2**31 - 1, 2**31 - 1, 2**31 - 1)
 
 
 def next_state(error_code, attempts, terminal):
@@ -38,8 +54,8 @@ def next_state(error_code, attempts, terminal):
 class Ingest:
     """The tables of an engine under one folder, and the stream that fills them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.store = spark, Store(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, limits: Limits = Limits()):
+        self.spark, self.store, self.limits = spark, Store(spark, folder), limits
 
     def table(self, name: str, at: Snapshot | None = None) -> DataFrame:
         return self.store.read(name, TABLES[name], at)
@@ -118,8 +134,8 @@ class Ingest:
         fresh = hold(fresh.join(settled, "document_id", "left_anti"))
         tried = known.select("document_id", F.col("attempts").alias("_tried"))
         readable = fresh.where("data IS NOT NULL")
-        pages, parse_errors = parse.parse(readable.select("document_id", "media_type", "data"), hold=hold)
-        chunks, chunk_errors = parse.document_chunks(pages, hold=hold)
+        pages, parse_errors = parse.parse(readable.select("document_id", "media_type", "data"), self.limits.pages, self.limits.chars, hold)
+        chunks, chunk_errors = parse.document_chunks(pages, max_chunks=self.limits.chunks, hold=hold)
         chunks = hold(chunks)
         fields = extract.extract_labelled(chunks)
         unread = fresh.where("data IS NULL").select("document_id", F.lit("storage_unavailable").alias("error_code"))
@@ -139,7 +155,7 @@ class Ingest:
 
     def start(self, uploads: str, checkpoint: str):
         """Take all files that are there, in micro-batches, and stop."""
-        stream = self.spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", 1000).parquet(uploads)
+        stream = self.spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", FILES).parquet(uploads)
         return stream.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def content(self, at: Snapshot | None = None) -> DataFrame:
