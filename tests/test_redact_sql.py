@@ -7,6 +7,7 @@ import __spark_entry__
 TEXTS = [
     "josé.garcía@example.com", "éa@b.co", "ıa@b.co, İa@b.co and a@b.coſ", "ſYN-ID-4829 SYN-İD-4829 éSYN-ID-4829", "1234567890́ or ١234567890",
     "12345678901 470 12 34 56 78 90", "12345678901 12345678902 12345678903", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19", "+32 470 12 34 56\n", "[PHONE REDACTED] 123456789", "plain", "", None,
+    "1234567890\u0870 1234567890\u9ffd",  # letters since Unicode 14
 ]
 
 
